@@ -66,7 +66,7 @@ def phrases(docs: DataFrame, kind: str, width: int, gram: int) -> DataFrame:
                     cols = [ids.take(pa.array(r.text + i)), longs(pack(r.lo, r.n, r.at)), longs(r.key), longs(r.ext)]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "key", "ext"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut_texts, RUN_SCHEMA)
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(cut_texts, RUN_SCHEMA)
 
 
 def texts_of(text: pa.Array, at: int, kind: str) -> bytes | list[bytes]:

@@ -62,8 +62,8 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 100) -> DataFram
 
     Null texts count as empty; shorter texts than ``width`` lose nothing; strings never cross texts.
     Rows sharing a ``doc_id`` count as separate texts when strings are counted, and each loses the
-    ranges found for that id.  A row whose ``doc_id`` is null loses nothing.  An empty table gives
-    an empty result.
+    ranges found for that id.  A row whose ``doc_id`` is null takes no part: it loses nothing and its
+    strings are not counted.  An empty table gives an empty result.
     """
     spans = covered_spans(docs, kind="bytes", width=width, gram=gram, mode="elsewhere", resolve=repeated_windows)
     return apply_spans(docs, spans, "bytes")
