@@ -153,7 +153,8 @@ def covered_spans(docs: DataFrame, *, kind: str, width: int, gram: int, mode: st
         raise ValueError(f"0 < gram <= width < {1 << _BITS} is needed")
     if runs is None:
         runs = cut(phrases(docs, kind, width, gram), "phrases")
-    often = runs.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
+    # stored first, so that both sides of the join are plain exchanges and a frequent trigger can be split
+    often = cut(runs.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "frequent")
     some = cut(runs.join(often, "key"), "candidates")
     entries = cut(some.groupBy("key", "ext").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "place")).alias("first")), "dictionary")
     if mode == "elsewhere":
