@@ -110,12 +110,15 @@ def byte_tokens(raw: np.ndarray, off: np.ndarray) -> Tokens:
     return Tokens(raw, at, at + 1, np.repeat(np.arange(len(off) - 1), np.diff(off)), off, (BYTE_HASH[0][raw], BYTE_HASH[1][raw]))
 
 
-def word_tokens(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> Tokens:
-    """Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D; ``lower`` maps A-Z to a-z."""
+def word_tokens(raw: np.ndarray, off: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None) -> Tokens:
+    """Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D; ``lower`` maps A-Z to a-z.
+
+    ``breaks`` may mark other bytes that part words (256 flags).
+    """
     n = len(raw)
     if lower:
         raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13))) if breaks is None else ~breaks[raw]
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     opens, closes = word.copy(), word.copy()
