@@ -7,10 +7,9 @@ matches + 1``, so the other postings are skipped.  Collisions are counted on the
 of at least ``matches`` are confirmed on the full shingle sets.
 
 Groups are found without listing all pairs of a posting list.  Equal sets are one class.  Every list
-first links its members to its smallest one; the confirmed links give components.  Only lists that
-still hold several components are looked at again: members that share too few shingles with any other
-such member to link with anybody are dropped (an exact bound), and the rest are paired across
-components where sizes and shared counts allow a link.
+first links its members to its smallest one; the confirmed links give components.  Members of lists
+that still hold several components are paired across components by an exact prefix filter on their
+shingles (`prefix_pairs`), and those pairs are confirmed too.
 """
 
 from __future__ import annotations
@@ -20,12 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
 from ._repeats import longs
-from ._shared import cut
+from ._shared import Scratch, cut, named
 from ._shingles import shingle_sets, signatures
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_hash binary, signature array<long>"
@@ -47,13 +46,13 @@ def sketch(docs: DataFrame, words: int, coordinates: int, minima: int) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(scan, SIGNATURE_SCHEMA)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, chunk: int = 512) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch, chunk: int = 512) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets hold ``100 * intersection >= percent * union``.
 
     The set of ``b`` meets those of its partners one after another; a ``b`` of many partners is
     dealt over several tasks.
     """
-    parts = cut(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts")), "parts")
+    parts = scratch.cut(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts")), "parts")
     sides = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(1).alias("side"), F.col("a").alias("doc_id"))
     heads = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("b").alias("doc_id"))
     rows = sides.unionByName(heads).join(texts, "doc_id")
@@ -79,29 +78,36 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, chunk:
     return rows.repartition("b", "part").sortWithinPartitions("b", "part", "side").select("b", "side", "doc_id", "text").mapInArrow(meet, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``id, component`` (smallest id reachable) of every id in ``edges`` (``a``, ``b``).
 
     Alternates large-star and small-star steps; each step cuts lineage in the shared folder and the
     number of steps grows with the logarithm of the longest path.
     """
-    now = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = scratch.cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).head()
         if mark == state:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return scratch.cut(ends.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")
         state = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = cut(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), "large-star")
+        large = scratch.cut(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        now = cut(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct(), "small-star")
+        now = scratch.cut(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct(), "small-star")
 
 
-def shared_counts(texts: DataFrame, words: int) -> DataFrame:
-    """``doc_id, shared``: how many shingles of each text occur in another of ``texts`` too."""
+def prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of ``members`` (doc_id, n_shingles, component) across components that may be linked.
+
+    Exact prefix and position filter: with the shingles of all members in one order, rare ones first, a
+    linked pair shares one within the first (1 - t) of the larger set and the first (1 - t) / (1 + t) of
+    the smaller one, and no more shingles than either has left from there.  Copies with many edits of
+    their own thus meet hardly anybody, however large their group is.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,14 +116,37 @@ def shared_counts(texts: DataFrame, words: int) -> DataFrame:
                 ids = np.repeat(batch.column("doc_id").to_numpy()[i:j], np.diff(o))
                 yield pa.RecordBatch.from_arrays([longs(ids), longs(h)], ["doc_id", "h"])
 
-    each = texts.mapInArrow(explode, "doc_id long, h long")
-    # a shingle of one document is given by its count; otherwise all its holders count it
-    alone = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
-    return alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    some = texts.join(members.select("doc_id"), "doc_id", "left_semi")
+    each = scratch.cut(some.mapInArrow(explode, "doc_id long, h long"), "shingles")
+    df = scratch.cut(each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id")), "frequencies")
+    alone = df.filter("df = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    n = F.col("n_shingles")
+    long = n - F.ceil(n * percent / 100) + 1
+    short = n - F.ceil(2 * percent * n / (100 + percent)) + 1
+    able = members.join(alone, "doc_id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    able = scratch.cut(able.withColumns({"long": long, "short": short}).filter("alone < long"), "able")
+    shared = each.join(df.filter("df > 1").select("h", "df"), "h").join(able, "doc_id")
+    place = F.col("alone") + F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "h")) - 1
+    first = scratch.cut(shared.withColumn("place", place).filter("place < long").select("h", "doc_id", "component", "n_shingles", "place", "short"), "prefixes")
+    x = first.select("h", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("place").alias("p_a"))
+    y = first.filter("place < short").select("h", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), F.col("place").alias("p_b"))
+    most = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    sizes = (F.col("n_b") <= F.col("n_a")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    fits = sizes & (F.col("c_a") != F.col("c_b")) & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    return x.join(y, "h").filter(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one of smallest id; all columns stay.
+
+    Rows with a null ``doc_id`` stay.  Rows sharing a ``doc_id`` are one document and stay together.
+    """
+    kept = near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(cut(kept, "kept"), "doc_id", "left_semi").select(*named(docs.columns)).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 32, minima: int = 4, matches: int = 4
+    docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 32, minima: int | None = None, matches: int = 4
 ) -> DataFrame:
     """Group documents whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` or more.
 
@@ -127,49 +156,38 @@ def near_duplicates(
 
     A text of fewer than ``words`` words is one shingle; a text without words, or null, is linked with
     nothing.  Rows sharing a ``doc_id`` belong to one group.  A row whose ``doc_id`` is null is linked
-    with nothing and kept.  An empty table gives an empty result.  With the default signature a pair at
-    exactly 85 percent is overlooked with a probability of 4e-7, at 80 percent 2e-5.
+    with nothing and kept.  An empty table gives an empty result.  By default ``minima`` is chosen
+    so that a pair at the threshold agrees in half of the coordinates or more; it is then overlooked
+    with a probability below 1e-6.
     """
-    sketches = cut(sketch(docs, words, coordinates, minima), "sketches")
-    known = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = cut(known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature"), "representatives")
-    postings = reps.select("doc_id", "n_shingles", F.explode(F.slice("signature", 1, coordinates - matches + 1)).alias("key"))
-    lists = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")).filter("n > 1").select("key", "head"), "lists")
-    members = cut(postings.join(lists, "key"), "members")
-    pairs = members.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    left = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("s_b"))
-
-    def colliding(some: DataFrame) -> DataFrame:
-        met = some.join(left, "a").join(right, "b")
+    minima = minima or max(1, int(np.log(0.5) / np.log(percent / 100)))
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch:
+        sketches = cut(sketch(docs, words, coordinates, minima), "sketches")
+        known = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = scratch.cut(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+        reps = scratch.cut(known.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "signature"), "representatives")
+        postings = reps.select("doc_id", "n_shingles", F.explode(F.slice("signature", 1, coordinates - matches + 1)).alias("key"))
+        lists = scratch.cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")).filter("n > 1").select("key", "head"), "lists")
+        members = scratch.cut(postings.join(lists, "key"), "members")
+        met = members.filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
+        left = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
+        right = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("s_b"))
         fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return met.filter(fits & (F.size(F.array_intersect("s_a", "s_b")) >= matches)).select("a", "b")
-
-    texts = cut(docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    links = cut(confirm(cut(colliding(pairs), "pairs"), texts, words, percent), "links")
-    found = cut(components(links), "components")
-
-    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = cut(placed.select("key", "doc_id", "n_shingles", "component"), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    open_ = cut(placed.join(split, "key"), "open")
-    some = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
-    alone = cut(shared_counts(some, words), "alone")
-    able = open_.join(alone, "doc_id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    able = able.filter(100 * F.col("shared") >= percent * F.col("n_shingles"))
-    # sizes of partners differ by at most the threshold: a member meets its own and the next size band
-    band = F.floor(F.log("n_shingles") / -float(np.log(percent / 100)))
-    able = cut(able.select("key", "doc_id", "n_shingles", "component", "shared", band.cast("int").alias("band")), "able")
-    x = able.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("shared").alias("m_a"))
-    y = able.select("key", "band", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), F.col("shared").alias("m_b"))
-    possible = (100 + percent) * F.least("m_a", "m_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    cross = x.join(y, ["key", "band"]).filter((F.col("c_a") != F.col("c_b")) & possible).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = cut(confirm(cut(colliding(cross), "pairs"), texts, words, percent), "links")
-    if not more.isEmpty():
-        found = cut(components(links.unionByName(more)), "components")
-
-    groups = cut(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component")), "groups")
+        pairs = met.join(left, "a").join(right, "b").filter(fits & (F.size(F.array_intersect("s_a", "s_b")) >= matches)).select("a", "b")
+        texts = scratch.cut(docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+        links = scratch.cut(confirm(scratch.cut(pairs, "pairs"), texts, words, percent, scratch), "links")
+        found = components(links, scratch)
+
+        placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        placed = scratch.cut(placed.select("key", "doc_id", "n_shingles", "component"), "placed")
+        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+        apart = scratch.cut(placed.join(scratch.cut(split, "split"), "key").select("doc_id", "n_shingles", "component").distinct(), "apart")
+        cross = scratch.cut(prefix_pairs(apart, texts, words, percent, scratch), "pairs")
+        more = scratch.cut(confirm(cross, texts, words, percent, scratch), "links")
+        if not more.isEmpty():
+            found = components(links.unionByName(more), scratch)
+        groups = cut(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component")), "groups")
     out = sketches.join(groups, "set_hash", "left")
     one = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "n_shingles", one.alias("component_id"))
