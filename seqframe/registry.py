@@ -226,7 +226,7 @@ on_orders("reduce", lambda s: ag.reduce(s, 10), "SELECT CAST(10 + sum(v) AS BIGI
 on_orders("reduce_min", lambda s: ag.reduce(s, 999_999_999, "minimum"), "SELECT least(999999999, min(v)) AS result FROM o")
 on_orders("reduce_xor", lambda s: ag.reduce(s, 0, "bit_xor"), "SELECT bit_xor(v) AS result FROM o")
 on_orders("reduce_custom", lambda s: ag.reduce(s, 0, lambda a, b: max(a, b)), "SELECT max(v) AS result FROM o")
-on_orders("reduce_empty", lambda s: ag.reduce(s.filter("false"), 42), "SELECT 42 AS result")
+on_orders("reduce_empty", lambda s: ag.reduce(s.filter("false"), 42), "SELECT CAST(42 AS BIGINT) AS result")
 on_orders("transform_reduce", lambda s: ag.transform_reduce(s, 0, "plus", lambda v: v % 10), "SELECT CAST(sum(v % 10) AS BIGINT) AS result FROM o")
 on_orders("inner_product", lambda s: ag.inner_product(s, s.withColumn("v", F.col("pos"))), "SELECT CAST(sum(v * pos) AS BIGINT) AS result FROM o")
 SCAN = "SELECT pos, CAST({} OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND {}) AS BIGINT) AS v FROM o"
