@@ -122,7 +122,7 @@ def item_blocks(benchmark: DataFrame, rate: float, chars: int) -> Iterator[list[
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 1 << 21) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 1 << 21) -> DataFrame:
     """Every pair of a document and an item of which it holds a passage within the error budget.
 
     ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and ``text``; other columns are
@@ -152,7 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, blo
     return out if out is not None else spark.createDataFrame([], HIT_SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 1 << 21) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 1 << 21) -> DataFrame:
     """``docs`` without the documents that hold a passage of an item; all columns and other rows stay.
 
     Rows with a null ``doc_id`` are judged like the others: the decision is made on the row itself.

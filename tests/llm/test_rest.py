@@ -38,7 +38,8 @@ def distance(a, b):
     return min(row)
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("rate", [0.05, 0.1])
+def test_contamination(spark, rate):
     rng = np.random.default_rng(4)
     draw = lambda n: "".join(rng.choice(list("abcd "), n))
     items = [(i, draw(int(rng.integers(20, 90)))) for i in range(12)] + [(50, ""), (51, None), (None, draw(30)), (52, items_long := draw(300))]
@@ -57,12 +58,12 @@ def test_contamination(spark):
             if n is not None and decontamination.normal(y):
                 p = decontamination.normal(y)
                 e = distance(p, decontamination.normal(x))
-                if e <= int(len(p) * 0.05):
+                if e <= int(len(p) * rate):
                     want.add((k, n, e))
     for chars in (1 << 21, 100):
-        got = decontamination.contamination(d, b, block_chars=chars).collect()
+        got = decontamination.contamination(d, b, rate, chars).collect()
         assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == sorted(want)
-    left = {r.doc_id for r in decontamination.clean(d.selectExpr("*", "1 AS `a.b`"), b, block_chars=100).collect()}
+    left = {r.doc_id for r in decontamination.clean(d.selectExpr("*", "1 AS `a.b`"), b, rate, 100).collect()}
     assert left == {k for k, _ in docs} - {k for k, _, _ in want}
     assert decontamination.contamination(d.limit(0), b).count() == 0 and decontamination.contamination(d, b.limit(0)).count() == 0
 
