@@ -9,7 +9,8 @@ from seqframe.llm import decontamination, toxicity
 from seqframe.llm._shared import cut, table
 
 
-def test_stages(spark, sf):
+def test_stages(spark):
+    sf = "/root/testdata/sf0.01"  # enough labels to learn from
     docs = table(spark, sf, "documents")
     columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "minhash_near_dedup", "benchmark_decontamination", "mixing", "sharding"]
