@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -137,24 +138,26 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, object], mos
     names = list(categories)
     marked = labels.select("doc_id", *[categories[c].cast("int").alias(c) for c in names]).dropna().dropDuplicates(["doc_id"])
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = word_lists(docs.select("doc_id", "text").join(chosen, "doc_id")).toArrow()
+    rows = word_lists(docs.select("doc_id", "text").join(chosen, "doc_id")).toArrow().combine_chunks().sort_by("doc_id")
+    lists = [rows.column(c).combine_chunks() for c in ("h", "n")]
+    ends = np.r_[0, np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+    token, count = lists[0].flatten().to_numpy().view(np.uint64), lists[1].flatten().to_numpy()
+    marks = np.array([rows.column(c).to_numpy() for c in names], float).T
+    del rows, lists
     seen, keep = set(), []
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    h = rows.column("h").to_pylist()
-    for i in order:
-        mark = hash(tuple(h[i]))
+    for i in range(len(ends) - 1):
+        mark = sha256(token[ends[i] : ends[i + 1]].tobytes()).digest()
         if mark not in seen:
             seen.add(mark)
-            keep.append(int(i))
+            keep.append(i)
     if not keep:
         return Chain(names, np.zeros(0, np.uint64), [np.array([*[0.0] * j, -30.0]) for j in range(len(names))], [0.5] * len(names))
-    rng = np.random.default_rng(3)
-    keep = [keep[i] for i in rng.permutation(len(keep))]
-    y = np.array([[rows.column(c)[i].as_py() for c in names] for i in keep], float)
-    n = rows.column("n").to_pylist()
-    token = np.concatenate([np.array(h[i], np.int64) for i in keep]).view(np.uint64)
-    row = np.repeat(np.arange(len(keep)), [len(h[i]) for i in keep])
-    count = np.concatenate([np.array(n[i]) for i in keep])
+    keep = np.array(keep)[np.random.default_rng(3).permutation(len(keep))]
+    y = marks[keep]
+    size = (ends[1:] - ends[:-1])[keep]
+    row = np.repeat(np.arange(len(keep)), size)
+    at = np.repeat(ends[keep] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+    token, count = token[at], count[at]
     vocabulary, column = np.unique(token, return_inverse=True)
     df = np.bincount(column)
     chosen_features = set()
