@@ -45,7 +45,7 @@ def crates(groups: DataFrame, capacity: int) -> DataFrame:
         if keys:
             yield packed(keys, sizes, step)
 
-    return groups.select("key", "bytes").mapInArrow(fill, "key long, crate long, bytes long")
+    return groups.select("key", "bytes").sortWithinPartitions("key").mapInArrow(fill, "key long, crate long, bytes long")
 
 
 def shard(docs: DataFrame, shards: int = 16, carry: list[str] | None = None, crates_per_shard: int = 128, rows_per_cell: int = 200_000) -> DataFrame:
