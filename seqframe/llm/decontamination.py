@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 
 from ._shared import packed
 
+#: Length of the substrings that the filter before the distance counts.
+GRAM = 4
+
+
+def grams(text: str) -> set[str]:
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
 HIT_SCHEMA = "doc_id long, item_id long, distance int, n_chars int, end long"
 
 
@@ -72,6 +80,7 @@ class Matcher:
     def __init__(self, items: list[Item]):
         self.items = items
         self.masks = [x.masks() for x in items]
+        self.grams = [grams(x.text) for x in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(items):
             for offset, piece in item.pieces():
@@ -96,9 +105,12 @@ class Matcher:
                 # hits whose windows overlap are verified together, at most four item lengths at once
                 if low is not None and (s is None or s - high > 2 * e or s - low > 4 * m):
                     a = max(0, low - e)
-                    d, at = myers(self.masks[n], m, text[a : high + m + e])
-                    if d <= e and (best is None or d < best[1]):
-                        best = (item.item_id, d, m, a + at)
+                    around = text[a : high + m + e]
+                    # an edit spoils at most GRAM of the item's grams: the rest must stand in the surroundings
+                    if len(self.grams[n] - grams(around)) <= GRAM * e:
+                        d, at = myers(self.masks[n], m, around)
+                        if d <= e and (best is None or d < best[1]):
+                            best = (item.item_id, d, m, a + at)
                     low = None
                 if s is not None:
                     low, high = (s if low is None else low), s
