@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _tokens as tk
-from ._shared import cut
+from ._shared import Scratch, cut
 
 RUN_SCHEMA = "doc_id long, place long, key long, ext long"
 SEGMENT_SCHEMA = "key long, doc_id long, place long, times long, segment binary"
@@ -39,6 +39,16 @@ def tokens_of(kind: str) -> Callable[[np.ndarray, np.ndarray], tk.Tokens]:
     return {"bytes": tk.byte_tokens, "words": tk.word_tokens}[kind]
 
 
+#: Rows of an Arrow batch, and bytes of text, that a Python worker handles at once: its memory stays small.
+ROWS, BYTES = 1024, 1 << 18
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def pack(lo: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (lo << 2 * _BITS) | (n << _BITS) | at
 
@@ -56,12 +66,12 @@ def phrases(docs: DataFrame, kind: str, width: int, gram: int) -> DataFrame:
     """Every phrase of every text: one narrow row each."""
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raw, off = tk.utf8(batch.column("text"))
             ids = batch.column("doc_id")
-            for i, j in tk.blocks(off):
+            for i, j in tk.blocks(off, BYTES):
                 t = tokens_of(kind)(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                r = tk.runs(t, width, gram)
+                r = tk.runs(t, width, gram, BYTES)
                 if len(r.lo):
                     cols = [ids.take(pa.array(r.text + i)), longs(pack(r.lo, r.n, r.at)), longs(r.key), longs(r.ext)]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "key", "ext"])
@@ -69,7 +79,7 @@ def phrases(docs: DataFrame, kind: str, width: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(cut_texts, RUN_SCHEMA)
 
 
-def texts_of(text: pa.Array, at: int, kind: str) -> bytes | list[bytes]:
+def tokens_in(text: pa.Array, at: int, kind: str) -> bytes | list[bytes]:
     value = text[at].as_py()
     raw = b"" if value is None else value.encode()
     return raw if kind == "bytes" else raw.split()
@@ -80,11 +90,11 @@ def segments(docs: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataF
     places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "times")).alias("places"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, text, lists = (batch.column(c) for c in ("doc_id", "text", "places"))
             out: list[tuple] = []
             for i in range(batch.num_rows):
-                x = texts_of(text, i, kind)
+                x = tokens_in(text, i, kind)
                 for p in lists[i].as_py():
                     lo, n, _ = unpack(p["place"])
                     if lo + n + width - 1 <= len(x):
@@ -111,7 +121,7 @@ def resolved(found: DataFrame, kind: str, width: int, resolve: Callable) -> Data
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        for batch in batches:
+        for batch in small(batches):
             for row in batch.to_pylist():
                 if len(held) >= 4096 and row["key"] != held[-1]["key"]:
                     yield settle(held)
@@ -123,7 +133,7 @@ def resolved(found: DataFrame, kind: str, width: int, resolve: Callable) -> Data
     return found.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(stream, SPAN_SCHEMA)
 
 
-def hot_windows(docs: DataFrame, wanted: DataFrame, kind: str, width: int, mode: str) -> DataFrame:
+def hot_windows(docs: DataFrame, wanted: DataFrame, scratch: Scratch, kind: str, width: int, mode: str) -> DataFrame:
     """The same for triggers with very many phrases: window hashes, partially aggregated."""
     found = segments(docs, wanted, kind, width)
 
@@ -136,7 +146,7 @@ def hot_windows(docs: DataFrame, wanted: DataFrame, kind: str, width: int, mode:
                 cols = [longs(h0), longs(h1), pa.array([row["doc_id"]] * n, pa.int64()), longs(lo + np.arange(n)), pa.array([row["times"]] * n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["h0", "h1", "doc_id", "start", "times"])
 
-    windows = cut(found.mapInArrow(explode, HASH_SCHEMA), "windows")
+    windows = scratch.cut(found.mapInArrow(explode, HASH_SCHEMA), "windows")
     total = windows.groupBy("h0", "h1").agg(F.sum("times").alias("total"), F.min(F.struct("doc_id", "start")).alias("first")).filter("total > 1")
     hits = windows.join(total, ["h0", "h1"])
     if mode == "earlier":
@@ -151,26 +161,32 @@ def covered_spans(docs: DataFrame, *, kind: str, width: int, gram: int, mode: st
     """
     if not 0 < gram <= width < 1 << _BITS:
         raise ValueError(f"0 < gram <= width < {1 << _BITS} is needed")
-    if runs is None:
-        runs = cut(phrases(docs, kind, width, gram), "phrases")
+    with Scratch(docs.sparkSession) as scratch:
+        if runs is None:
+            runs = scratch.cut(phrases(docs, kind, width, gram), "phrases")
+        spans = found_spans(docs, runs, scratch, kind, width, mode, resolve, hot)
+        return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+
+
+def found_spans(docs: DataFrame, runs: DataFrame, scratch: Scratch, kind: str, width: int, mode: str, resolve: Callable, hot: int) -> DataFrame:
     # stored first, so that both sides of the join are plain exchanges and a frequent trigger can be split
-    often = cut(runs.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "frequent")
-    some = cut(runs.join(often, "key"), "candidates")
-    entries = cut(some.groupBy("key", "ext").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "place")).alias("first")), "dictionary")
+    often = scratch.cut(runs.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "frequent")
+    some = scratch.cut(runs.join(often, "key"), "candidates")
+    entries = scratch.cut(some.groupBy("key", "ext").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "place")).alias("first")), "dictionary")
     if mode == "elsewhere":
         whole = some.join(entries.filter("times > 1").select("key", "ext"), ["key", "ext"])
     else:
         again = entries.filter("times > 1").select("key", "ext", "first")
         whole = some.join(again, ["key", "ext"]).filter(F.struct("doc_id", "place") != F.col("first"))
     lo, n = F.shiftrightunsigned("place", 2 * _BITS), F.shiftright("place", _BITS).bitwiseAND((1 << _BITS) - 1)
-    whole = whole.select("doc_id", lo.alias("s"), (lo + n + (width - 1)).alias("e"))
+    # each part is stored by itself: its exchanges are gone before the next part's, which carry texts
+    whole = scratch.cut(whole.select("doc_id", lo.alias("s"), (lo + n + (width - 1)).alias("e")), "whole")
     mixed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = cut(entries.join(mixed, "key").select("key", "kinds", "times", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "mixed")
-    calm = resolved(segments(docs, wanted.filter(F.col("kinds") <= hot), kind, width), kind, width, resolve)
-    spans = whole.unionByName(calm)
+    wanted = scratch.cut(entries.join(mixed, "key").select("key", "kinds", "times", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "mixed")
+    spans = whole.unionByName(scratch.cut(resolved(segments(docs, wanted.filter(F.col("kinds") <= hot), kind, width), kind, width, resolve), "resolved"))
     if not wanted.filter(F.col("kinds") > hot).isEmpty():
-        spans = spans.unionByName(hot_windows(docs, wanted.filter(F.col("kinds") > hot), kind, width, mode))
-    return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+        spans = spans.unionByName(hot_windows(docs, wanted.filter(F.col("kinds") > hot), scratch, kind, width, mode))
+    return spans
 
 
 def removed(text: bytes | list[bytes], spans: list[dict] | None) -> tuple[list, list[tuple[int, int]]]:
@@ -193,11 +209,11 @@ def apply_spans(docs: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
     """One row per document: token count, tokens removed, maximal removed ranges, the rest."""
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, text, lists = (batch.column(c) for c in ("doc_id", "text", "spans"))
             n, gone, ranges, kept = [], [], [], []
             for i in range(batch.num_rows):
-                x = texts_of(text, i, kind)
+                x = tokens_in(text, i, kind)
                 left, cuts = removed(x, lists[i].as_py())
                 n.append(len(x))
                 gone.append(sum(b - a for a, b in cuts))

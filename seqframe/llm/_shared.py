@@ -52,7 +52,8 @@ def cut(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # a task that got a frequent key writes several files, so that later stages can split its rows
+    df.write.option("maxRecordsPerFile", 1_000_000).parquet(path)
     schema = df.schema
     del df
     gc.collect()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._repeats import RUN_SCHEMA, apply_spans, covered_spans, phrases, unpack
-from ._shared import shared_dir
+from ._shared import cut, shared_dir
 
 
 def seen_windows(rows: list[dict], width: int) -> list[np.ndarray]:
@@ -62,7 +62,7 @@ class FingerprintIndex:
         new, old = self._run(name), self.history()
         runs, texts = new, batch.select("doc_id", "text")
         if old is not None:
-            runs = new.unionByName(old.join(new.select("key").distinct(), "key").select(*new.columns))
+            runs = new.unionByName(cut(old.join(new.select("key").distinct(), "key", "left_semi").select(*new.columns), "met"))
             texts = texts.unionByName(earlier.select("doc_id", "text"))
         spans = covered_spans(texts, kind="words", width=self.width, gram=self.gram, mode="earlier", resolve=seen_windows, runs=runs)
         self.runs.append(name)
