@@ -45,10 +45,24 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return src.read_parquet(spark, f"{d}/events.parquet", "event_id", columns={"k": F.col("event_type"), "v": _cents("value")})
 
 
+def prices(spark: SparkSession, d: str) -> DataFrame:
+    """The values of `orders` for operators that no order matters to: a scan of one column, no exchange."""
+    return spark.read.parquet(f"{d}/orders.parquet").select(_cents("o_totalprice").alias("v"))
+
+
+def quantities(spark: SparkSession, d: str) -> DataFrame:
+    """The values of `lines`, without positions."""
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").cast("long").alias("v"))
+
+
+def part_keys(spark: SparkSession, d: str, test: str) -> DataFrame:
+    """Part keys of the order lines that pass ``test``, without positions."""
+    return spark.read.parquet(f"{d}/lineitem.parquet").filter(test).select(F.col("l_partkey").alias("v"))
+
+
 def parts(spark: SparkSession, d: str, test: str) -> DataFrame:
-    """Sorted part keys of the order lines that pass ``test``."""
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").filter(test).select(F.col("l_partkey").alias("v"))
-    return src.sequence(rows.withColumn("_i", F.lit(0)), "v", columns={"v": F.col("v")})
+    """The same as a sorted sequence."""
+    return src.sequence(part_keys(spark, d, test), "v", columns={"v": F.col("v")})
 
 
 EARLY, LATE = "l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity <= 10", "l_shipdate >= TIMESTAMP '1995-01-01' AND l_quantity <= 10"
@@ -72,6 +86,14 @@ def on_orders(name: str, op: Callable[[DataFrame], DataFrame], sql: str) -> None
     add(name, lambda s, d: op(orders(s, d)), f"WITH {O} {sql}")
 
 
+def on_prices(name: str, op: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    add(name, lambda s, d: op(prices(s, d)), f"WITH {O} {sql}")
+
+
+def on_quantities(name: str, op: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    add(name, lambda s, d: op(quantities(s, d)), f"WITH {L} {sql}")
+
+
 def on_lines(name: str, op: Callable[[DataFrame], DataFrame], sql: str) -> None:
     add(name, lambda s, d: op(lines(s, d)), f"WITH {L} {sql}")
 
@@ -96,11 +118,11 @@ add(
 
 BIG = 50_000_00
 FIRST = "SELECT coalesce(min(pos) FILTER (WHERE {}), count(*)) AS result FROM {}"
-on_orders("any_of", lambda s: se.any_of(s, lambda v: v > BIG), f"SELECT coalesce(bool_or(v > {BIG}), false) AS result FROM o")
-on_orders("all_of", lambda s: se.all_of(s, lambda v: v > 0), "SELECT coalesce(bool_and(v > 0), true) AS result FROM o")
-on_orders("none_of", lambda s: se.none_of(s, lambda v: v < 0), "SELECT NOT coalesce(bool_or(v < 0), false) AS result FROM o")
-on_orders("any_of_empty", lambda s: se.any_of(s.filter("false"), lambda v: v > 0), "SELECT false AS result")
-on_orders("all_of_empty", lambda s: se.all_of(s.filter("false"), lambda v: v > 0), "SELECT true AS result")
+on_prices("any_of", lambda s: se.any_of(s, lambda v: v > BIG), f"SELECT coalesce(bool_or(v > {BIG}), false) AS result FROM o")
+on_prices("all_of", lambda s: se.all_of(s, lambda v: v > 0), "SELECT coalesce(bool_and(v > 0), true) AS result FROM o")
+on_prices("none_of", lambda s: se.none_of(s, lambda v: v < 0), "SELECT NOT coalesce(bool_or(v < 0), false) AS result FROM o")
+on_prices("any_of_empty", lambda s: se.any_of(s.filter("false"), lambda v: v > 0), "SELECT false AS result")
+on_prices("all_of_empty", lambda s: se.all_of(s.filter("false"), lambda v: v > 0), "SELECT true AS result")
 on_orders("for_each", lambda s: se.for_each(s, lambda v: v * 2 + 1), "SELECT pos, v * 2 + 1 AS v FROM o")
 on_orders("for_each_n", lambda s: se.for_each_n(s, 100, lambda v: -v), "SELECT pos, CASE WHEN pos < 100 THEN -v ELSE v END AS v FROM o")
 on_lines("find_if", lambda s: se.find_if(s, lambda v: v > 49), FIRST.format("v > 49", "l"))
@@ -110,8 +132,8 @@ on_lines("find_absent", lambda s: se.find(s, 51), FIRST.format("v = 51", "l"))
 on_lines("find_first_of", lambda s: se.find_first_of(s, [48, 49, 77]), FIRST.format("v IN (48, 49, 77)", "l"))
 on_lines("find_first_of_frame", lambda s: se.find_first_of_frame(s, s.sparkSession.createDataFrame([(47,), (50,)], "v long")), FIRST.format("v IN (47, 50)", "l"))
 on_lines("adjacent_find", se.adjacent_find, "SELECT coalesce(min(pos) FILTER (WHERE v = n), count(*)) AS result FROM (SELECT pos, v, lead(v) OVER (ORDER BY pos) AS n FROM l)")
-on_lines("count", lambda s: se.count(s, 7), "SELECT count(*) FILTER (WHERE v = 7) AS result FROM l")
-on_lines("count_if", lambda s: se.count_if(s, lambda v: v % 2 == 0), "SELECT count(*) FILTER (WHERE v % 2 = 0) AS result FROM l")
+on_quantities("count", lambda s: se.count(s, 7), "SELECT count(*) FILTER (WHERE v = 7) AS result FROM l")
+on_quantities("count_if", lambda s: se.count_if(s, lambda v: v % 2 == 0), "SELECT count(*) FILTER (WHERE v % 2 = 0) AS result FROM l")
 NEXT = "SELECT pos, v, lead(v) OVER (ORDER BY pos) AS v1, lead(v, 2) OVER (ORDER BY pos) AS v2 FROM l"
 on_lines("search", lambda s: se.search(s, [7, 7]), f"SELECT coalesce(min(pos) FILTER (WHERE v = 7 AND v1 = 7), count(*)) AS result FROM ({NEXT})")
 on_lines("search_empty", lambda s: se.search(s, []), "SELECT CAST(0 AS BIGINT) AS result")
@@ -136,8 +158,8 @@ on_orders("is_partitioned", lambda s: se.is_partitioned(s.withColumn("v", F.col(
 HEAP = "(SELECT c.pos, c.v, p.v AS p FROM o c LEFT JOIN o p ON c.pos > 0 AND p.pos = (c.pos - 1) // 2)"
 on_orders("is_heap_until", se.is_heap_until, FIRST.format("p < v", HEAP))
 on_orders("is_heap", lambda s: se.is_heap(s.withColumn("v", -F.col("pos"))), "SELECT true AS result")
-add("includes", lambda s, d: se.includes(parts(s, d, "l_quantity <= 10"), parts(s, d, EARLY)), "SELECT true AS result")
-add("includes_not", lambda s, d: se.includes(parts(s, d, EARLY), parts(s, d, LATE)), f"WITH {P} SELECT NOT EXISTS (SELECT v FROM b EXCEPT ALL SELECT v FROM a) AS result")
+add("includes", lambda s, d: se.includes(part_keys(s, d, "l_quantity <= 10"), part_keys(s, d, EARLY)), "SELECT true AS result")
+add("includes_not", lambda s, d: se.includes(part_keys(s, d, EARLY), part_keys(s, d, LATE)), f"WITH {P} SELECT NOT EXISTS (SELECT v FROM b EXCEPT ALL SELECT v FROM a) AS result")
 
 # ---------------------------------------------------------------- copies, maps, re-orderings
 
@@ -179,7 +201,7 @@ on_orders("shift_left_none", lambda s: re.shift_left(s, -1), "SELECT pos, v FROM
 on_orders("shift_right", lambda s: re.shift_right(s, 30), "SELECT pos + 30 AS pos, v FROM o WHERE pos < (SELECT count(*) FROM o) - 30")
 for _name, _op in (("partition", re.partition), ("stable_partition", re.stable_partition)):
     on_lines(_name, lambda s, f=_op: f(s, lambda v: v > 30), "SELECT row_number() OVER (ORDER BY v <= 30, pos) - 1 AS pos, v FROM l")
-on_lines("partition_point", lambda s: re.partition_point(s, lambda v: v > 30), "SELECT count(*) FILTER (WHERE v > 30) AS result FROM l")
+on_quantities("partition_point", lambda s: re.partition_point(s, lambda v: v > 30), "SELECT count(*) FILTER (WHERE v > 30) AS result FROM l")
 on_lines("partition_copy_true", lambda s: re.partition_copy(s, lambda v: v > 30)[0], KEEP.format("l", "v > 30"))
 on_lines("partition_copy_false", lambda s: re.partition_copy(s, lambda v: v > 30)[1], KEEP.format("l", "NOT v > 30"))
 
@@ -218,16 +240,16 @@ for _name, _op, _sql in (
     ("set_difference", so.set_difference, "SELECT v FROM a EXCEPT ALL SELECT v FROM b"),
     ("set_symmetric_difference", so.set_symmetric_difference, "(SELECT v FROM a EXCEPT ALL SELECT v FROM b) UNION ALL (SELECT v FROM b EXCEPT ALL SELECT v FROM a)"),
 ):
-    add(_name, lambda s, d, f=_op: f(parts(s, d, EARLY), parts(s, d, LATE)), f"WITH {P} " + RANKED.format(_sql))
+    add(_name, lambda s, d, f=_op: f(part_keys(s, d, EARLY), part_keys(s, d, LATE)), f"WITH {P} " + RANKED.format(_sql))
 
 # ---------------------------------------------------------------- reductions and scans
 
-on_orders("reduce", lambda s: ag.reduce(s, 10), "SELECT CAST(10 + sum(v) AS BIGINT) AS result FROM o")
-on_orders("reduce_min", lambda s: ag.reduce(s, 999_999_999, "minimum"), "SELECT least(999999999, min(v)) AS result FROM o")
-on_orders("reduce_xor", lambda s: ag.reduce(s, 0, "bit_xor"), "SELECT bit_xor(v) AS result FROM o")
-on_orders("reduce_custom", lambda s: ag.reduce(s, 0, lambda a, b: max(a, b)), "SELECT max(v) AS result FROM o")
-on_orders("reduce_empty", lambda s: ag.reduce(s.filter("false"), 42), "SELECT CAST(42 AS BIGINT) AS result")
-on_orders("transform_reduce", lambda s: ag.transform_reduce(s, 0, "plus", lambda v: v % 10), "SELECT CAST(sum(v % 10) AS BIGINT) AS result FROM o")
+on_prices("reduce", lambda s: ag.reduce(s, 10), "SELECT CAST(10 + sum(v) AS BIGINT) AS result FROM o")
+on_prices("reduce_min", lambda s: ag.reduce(s, 999_999_999, "minimum"), "SELECT least(999999999, min(v)) AS result FROM o")
+on_prices("reduce_xor", lambda s: ag.reduce(s, 0, "bit_xor"), "SELECT bit_xor(v) AS result FROM o")
+on_prices("reduce_custom", lambda s: ag.reduce(s, 0, lambda a, b: max(a, b)), "SELECT max(v) AS result FROM o")
+on_prices("reduce_empty", lambda s: ag.reduce(s.filter("false"), 42), "SELECT CAST(42 AS BIGINT) AS result")
+on_prices("transform_reduce", lambda s: ag.transform_reduce(s, 0, "plus", lambda v: v % 10), "SELECT CAST(sum(v % 10) AS BIGINT) AS result FROM o")
 on_orders("inner_product", lambda s: ag.inner_product(s, s.withColumn("v", F.col("pos"))), "SELECT CAST(sum(v * pos) AS BIGINT) AS result FROM o")
 SCAN = "SELECT pos, CAST({} OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND {}) AS BIGINT) AS v FROM o"
 on_orders("inclusive_scan", ag.inclusive_scan, SCAN.format("sum(v)", "CURRENT ROW"))
@@ -250,9 +272,9 @@ for _name in ("inclusive_scan_by_segment", "inclusive_scan_by_key"):
 for _name in ("exclusive_scan_by_segment", "exclusive_scan_by_key"):
     add(_name, lambda s, d: ag.exclusive_scan_by_segment(events(s, d), 4), f"WITH {ISLANDS} SELECT pos, k, 4 + coalesce({BY_RUN.format('sum(v)', '1 PRECEDING')}, 0) AS v FROM g")
 add("reduce_by_key", QUERIES["reduce_by_segment"], ORACLE["reduce_by_segment"])
-on_lines("histogram", lambda s: ag.histogram(s, 7, 5, 40), "SELECT range AS bin, (SELECT count(*) FROM l WHERE v >= 5 AND v < 40 AND (v - 5) * 7 // 35 = range) AS n FROM range(7)")
-on_lines("histogram_floating", lambda s: ag.histogram(s.withColumn("v", F.col("v") / 2.0), 8, 2.0, 18.0), "SELECT range AS bin, (SELECT count(*) FROM l WHERE v / 2.0 >= 2 AND v / 2.0 < 18 AND floor((v / 2.0 - 2) * 0.5) = range) AS n FROM range(8)")
-on_lines(
+on_quantities("histogram", lambda s: ag.histogram(s, 7, 5, 40), "SELECT range AS bin, (SELECT count(*) FROM l WHERE v >= 5 AND v < 40 AND (v - 5) * 7 // 35 = range) AS n FROM range(7)")
+on_quantities("histogram_floating", lambda s: ag.histogram(s.withColumn("v", F.col("v") / 2.0), 8, 2.0, 18.0), "SELECT range AS bin, (SELECT count(*) FROM l WHERE v / 2.0 >= 2 AND v / 2.0 < 18 AND floor((v / 2.0 - 2) * 0.5) = range) AS n FROM range(8)")
+on_quantities(
     "histogram_bounds",
     lambda s: ag.histogram_bounds(s, [-1, 0, 8, 12, 30, 31]),
     "SELECT CAST(i AS BIGINT) AS bin, (SELECT count(*) FROM l WHERE v >= lo AND v < hi) AS n FROM (VALUES (0, -1, 0), (1, 0, 8), (2, 8, 12), (3, 12, 30), (4, 30, 31)) t(i, lo, hi)",
@@ -269,7 +291,7 @@ for _name, _op, _sql in (
     ("upper_bound", ag.upper_bound, "(SELECT count(*) FROM a WHERE a.v <= q.v)"),
     ("binary_search", ag.binary_search, "EXISTS (SELECT 1 FROM a WHERE a.v = q.v)"),
 ):
-    add(_name, lambda s, d, f=_op: f(parts(s, d, EARLY), _asked(s, d)), f"WITH {Q} SELECT pos, v, {_sql} AS result FROM q")
+    add(_name, lambda s, d, f=_op: f(part_keys(s, d, EARLY), _asked(s, d)), f"WITH {Q} SELECT pos, v, {_sql} AS result FROM q")
 
 # ---------------------------------------------------------------- sources and views
 
@@ -318,10 +340,10 @@ add("for_loop_n_strided", lambda s, d: loops.for_loop_n_strided(s, 3, 11, 4, red
 
 # ---------------------------------------------------------------- ranges with projections
 
-on_lines("ranges_count_if", lambda s: ranges.count_if(s, lambda v: v == 0, proj=lambda v: v % 5), "SELECT count(*) FILTER (WHERE v % 5 = 0) AS result FROM l")
+on_quantities("ranges_count_if", lambda s: ranges.count_if(s, lambda v: v == 0, proj=lambda v: v % 5), "SELECT count(*) FILTER (WHERE v % 5 = 0) AS result FROM l")
 on_lines("ranges_find", lambda s: ranges.find(s, 4, proj=lambda v: v % 5), FIRST.format("v % 5 = 4", "l"))
 on_lines("ranges_find_if", lambda s: ranges.find_if(s, lambda v: v == 3, proj=lambda v: v % 5), FIRST.format("v % 5 = 3", "l"))
-on_lines("ranges_any_of", lambda s: ranges.any_of(s, lambda v: v > 7, proj=lambda v: v % 5), "SELECT false AS result")
+on_quantities("ranges_any_of", lambda s: ranges.any_of(s, lambda v: v > 7, proj=lambda v: v % 5), "SELECT false AS result")
 on_lines("ranges_copy_if", lambda s: ranges.copy_if_limited(s, lambda v: v == 0, 20, proj=lambda v: v % 5), f"SELECT * FROM ({KEEP.format('l', 'v % 5 = 0')}) WHERE pos < 20")
 on_lines("ranges_sort", lambda s: ranges.sort(s, proj=lambda v: v % 5), "SELECT row_number() OVER (ORDER BY v % 5, pos) - 1 AS pos, v FROM l")
 on_lines("ranges_stable_sort", lambda s: ranges.stable_sort(s, proj=lambda v: -v), "SELECT row_number() OVER (ORDER BY -v, pos) - 1 AS pos, v FROM l")
@@ -386,13 +408,13 @@ for _name, _op in (
 ):
     add(f"{_name}_async", lambda s, d, f=_op: f(orders(s, d)).get(), ORACLE[_name])
 add("sort_async", lambda s, d: asy.sort_async(lines(s, d)).get(), ORACLE["sort"])
-add("reduce_async", lambda s, d: _value(s, asy.reduce_async(orders(s, d), 10).get()), ORACLE["reduce"])
-add("transform_reduce_async", lambda s, d: _value(s, asy.transform_reduce_async(orders(s, d), 0, "plus", lambda v: v % 10).get()), ORACLE["transform_reduce"])
+add("reduce_async", lambda s, d: _value(s, asy.reduce_async(prices(s, d), 10).get()), ORACLE["reduce"])
+add("transform_reduce_async", lambda s, d: _value(s, asy.transform_reduce_async(prices(s, d), 0, "plus", lambda v: v % 10).get()), ORACLE["transform_reduce"])
 
 
 def _waited(s: SparkSession, d: str) -> DataFrame:
     first = asy.fill_async(orders(s, d), 5)
-    then = asy.reduce_async(orders(s, d), 10, "plus", first)
+    then = asy.reduce_async(prices(s, d), 10, "plus", first)
     asy.wait_for_all(first, then)
     return _value(s, then.get())
 
@@ -401,6 +423,6 @@ add("wait_for_all", _waited, ORACLE["reduce"])
 for _name, _policy in (("fixed_resource", sel.FixedResource), ("round_robin", sel.RoundRobin), ("dynamic_load", sel.DynamicLoad), ("auto_tune", sel.AutoTune)):
     add(
         f"policy_{_name}",
-        lambda s, d, p=_policy: sel.submit_and_wait(p(["a", "b"]), lambda pool: sel.in_pool(s, pool, lambda: ag.reduce(orders(s, d), 10))),
+        lambda s, d, p=_policy: sel.submit_and_wait(p(["a", "b"]), lambda pool: sel.in_pool(s, pool, lambda: ag.reduce(prices(s, d), 10))),
         ORACLE["reduce"],
     )
