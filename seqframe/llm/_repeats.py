@@ -39,16 +39,6 @@ def tokens_of(kind: str) -> Callable[[np.ndarray, np.ndarray], tk.Tokens]:
     return {"bytes": tk.byte_tokens, "words": tk.word_tokens}[kind]
 
 
-#: Rows of an Arrow batch, and bytes of text, that a Python worker handles at once: its memory stays small.
-ROWS, BYTES = 1024, 1 << 18
-
-
-def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, ROWS):
-            yield batch.slice(i, ROWS)
-
-
 def pack(lo: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (lo << 2 * _BITS) | (n << _BITS) | at
 
@@ -66,12 +56,12 @@ def phrases(docs: DataFrame, kind: str, width: int, gram: int) -> DataFrame:
     """Every phrase of every text: one narrow row each."""
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in tk.small(batches):
             raw, off = tk.utf8(batch.column("text"))
             ids = batch.column("doc_id")
-            for i, j in tk.blocks(off, BYTES):
+            for i, j in tk.blocks(off):
                 t = tokens_of(kind)(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                r = tk.runs(t, width, gram, BYTES)
+                r = tk.runs(t, width, gram)
                 if len(r.lo):
                     cols = [ids.take(pa.array(r.text + i)), longs(pack(r.lo, r.n, r.at)), longs(r.key), longs(r.ext)]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "key", "ext"])
@@ -90,7 +80,7 @@ def segments(docs: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataF
     places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "times")).alias("places"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in tk.small(batches):
             ids, text, lists = (batch.column(c) for c in ("doc_id", "text", "places"))
             out: list[tuple] = []
             for i in range(batch.num_rows):
@@ -121,7 +111,7 @@ def resolved(found: DataFrame, kind: str, width: int, resolve: Callable) -> Data
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        for batch in small(batches):
+        for batch in tk.small(batches):
             for row in batch.to_pylist():
                 if len(held) >= 4096 and row["key"] != held[-1]["key"]:
                     yield settle(held)
@@ -209,7 +199,7 @@ def apply_spans(docs: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
     """One row per document: token count, tokens removed, maximal removed ranges, the rest."""
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in tk.small(batches):
             ids, text, lists = (batch.column(c) for c in ("doc_id", "text", "spans"))
             n, gone, ranges, kept = [], [], [], []
             for i in range(batch.num_rows):

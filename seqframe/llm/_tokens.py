@@ -8,6 +8,7 @@ one text.  Every window has one *trigger*: the leftmost minimum of the rolling h
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,9 @@ U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text that one vectorised step works on; longer texts are cut with overlap.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Rows of an Arrow batch that a Python worker handles at once: its memory stays small.
+ROWS = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,6 +87,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `ROWS`; afterwards the worker, which may idle, gives free memory back."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of ``limit`` bytes together, or one longer text."""
     i = 0

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import packed
+from ._tokens import small
 
 #: Length of the substrings that the filter before the distance counts.
 GRAM = 4
@@ -152,7 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, bloc
 
         def scan(batches: Iterator[pa.RecordBatch], items: list[Item] = items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items)
-            for batch in batches:
+            for batch in small(batches):
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
                 rows = [(i, *hit) for i, t in zip(ids, texts) for hit in matcher.find(normal(t.as_py()))]
                 cols = list(zip(*rows)) or [[]] * 5
@@ -174,7 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars:
 
         def keep(batches: Iterator[pa.RecordBatch], items: list[Item] = items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items)
-            for batch in batches:
+            for batch in small(batches):
                 yield batch.filter(pa.array([not matcher.find(normal(t.as_py())) for t in batch.column("text")], pa.bool_()))
 
         out = out.mapInArrow(keep, out.schema)

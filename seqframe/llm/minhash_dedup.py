@@ -34,7 +34,7 @@ def sketch(docs: DataFrame, words: int, coordinates: int, minima: int) -> DataFr
     """Set size, 128-bit hash of the set, and signature (null for an empty set) of every text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tk.small(batches):
             raw, off = tk.utf8(batch.column("text"))
             for i, j, h, o in shingle_sets(raw, off, words):
                 size = np.diff(o)
@@ -59,7 +59,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratc
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, at = np.zeros(0, np.uint64), None
-        for batch in batches:
+        for batch in tk.small(batches):
             b, side, ids = (batch.column(c).to_numpy() for c in ("b", "side", "doc_id"))
             raw, off = tk.utf8(batch.column("text"))
             left, right = [], []
@@ -110,7 +110,7 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int,
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tk.small(batches):
             raw, off = tk.utf8(batch.column("text"))
             for i, j, h, o in shingle_sets(raw, off, words):
                 ids = np.repeat(batch.column("doc_id").to_numpy()[i:j], np.diff(o))
