@@ -53,10 +53,14 @@ def decode_wav(media: bytes) -> tuple[bytes, int]:
         return w.readframes(w.getnframes()), w.getframerate()
 
 
+#: Zero crossings of the low pass on either side.
+HALF = 6
+
+
 @cache
-def _phases(up: int, down: int, half: int = 6) -> np.ndarray:
+def _phases(up: int, down: int) -> np.ndarray:
     """Rows of a windowed-sinc low pass, one for each phase of the upsampled grid."""
-    n = half * max(up, down)
+    n = HALF * max(up, down)
     t = np.arange(-n, n + 1)
     h = np.sinc(t / max(up, down)) * np.hamming(2 * n + 1)
     h *= up / h.sum()
@@ -70,7 +74,7 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     up, down = to // g, rate // g
     rows = _phases(up, down)
     taps = rows.shape[1]
-    delay = (taps * up) // 2
+    delay = HALF * max(up, down)
     total = -(-len(x) * up // down)
     padded = np.pad(x.astype(np.float32), (taps, taps + delay // up + 1))
     view = np.lib.stride_tricks.sliding_window_view(padded, taps)
