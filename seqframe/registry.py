@@ -293,6 +293,42 @@ for _name, _op, _sql in (
 ):
     add(_name, lambda s, d, f=_op: f(part_keys(s, d, EARLY), _asked(s, d)), f"WITH {Q} SELECT pos, v, {_sql} AS result FROM q")
 
+# ---------------------------------------------------------------- part keys of every order line, whatever its quantity
+
+# ship dates run from 1995-01-02 to 2001-11-04: the split is near their median, while EARLY above holds no line at all
+HALF_EARLY, HALF_LATE = "l_shipdate < TIMESTAMP '1998-06-01'", "l_shipdate >= TIMESTAMP '1998-06-01'"
+WHOLE = f"a AS (SELECT l_partkey AS v FROM lineitem WHERE {HALF_EARLY}), b AS (SELECT l_partkey AS v FROM lineitem WHERE {HALF_LATE})"
+MERGED = "SELECT row_number() OVER (ORDER BY v) - 1 AS pos, v FROM (SELECT v FROM a UNION ALL SELECT v FROM b)"
+add("includes_whole", lambda s, d: se.includes(part_keys(s, d, "true"), part_keys(s, d, HALF_EARLY)), f"WITH {WHOLE} SELECT NOT EXISTS (SELECT v FROM a EXCEPT ALL SELECT l_partkey FROM lineitem) AS result")
+add("includes_not_whole", lambda s, d: se.includes(part_keys(s, d, HALF_EARLY), part_keys(s, d, HALF_LATE)), f"WITH {WHOLE} SELECT NOT EXISTS (SELECT v FROM b EXCEPT ALL SELECT v FROM a) AS result")
+add("merge_whole", lambda s, d: so.merge(parts(s, d, HALF_EARLY), parts(s, d, HALF_LATE)), f"WITH {WHOLE} {MERGED}")
+add("merge_limited_whole", lambda s, d: so.merge(parts(s, d, HALF_EARLY), parts(s, d, HALF_LATE), 100), f"WITH {WHOLE} {MERGED} QUALIFY pos < 100")
+for _name, _op, _sql in (
+    ("set_union", so.set_union, "SELECT v FROM a UNION ALL (SELECT v FROM b EXCEPT ALL SELECT v FROM a)"),
+    ("set_intersection", so.set_intersection, "SELECT v FROM a INTERSECT ALL SELECT v FROM b"),
+    ("set_difference", so.set_difference, "SELECT v FROM a EXCEPT ALL SELECT v FROM b"),
+    ("set_symmetric_difference", so.set_symmetric_difference, "(SELECT v FROM a EXCEPT ALL SELECT v FROM b) UNION ALL (SELECT v FROM b EXCEPT ALL SELECT v FROM a)"),
+):
+    add(f"{_name}_whole", lambda s, d, f=_op: f(part_keys(s, d, HALF_EARLY), part_keys(s, d, HALF_LATE)), f"WITH {WHOLE} " + RANKED.format(_sql))
+
+
+def _every_part(s: SparkSession, d: str) -> DataFrame:
+    """Needles that grow with the tables: the key of every part."""
+    return src.read_parquet(s, f"{d}/part.parquet", "p_partkey", columns={"v": F.col("p_partkey")})
+
+
+# counts up to each value by one running sum; a correlated count is too slow for so many needles
+UP_TO = (
+    f"{WHOLE}, q AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey AS v FROM part),"
+    " r AS (SELECT v, sum(n) AS same, sum(sum(n)) OVER (ORDER BY v) AS upto FROM (SELECT v, 1 AS n FROM a UNION ALL SELECT DISTINCT v, 0 FROM q) GROUP BY v)"
+)
+for _name, _op, _sql in (
+    ("lower_bound", ag.lower_bound, "CAST(upto - same AS BIGINT)"),
+    ("upper_bound", ag.upper_bound, "CAST(upto AS BIGINT)"),
+    ("binary_search", ag.binary_search, "same > 0"),
+):
+    add(f"{_name}_whole", lambda s, d, f=_op: f(part_keys(s, d, HALF_EARLY), _every_part(s, d)), f"WITH {UP_TO} SELECT pos, v, {_sql} AS result FROM q JOIN r USING (v)")
+
 # ---------------------------------------------------------------- sources and views
 
 add("counting", lambda s, d: src.counting(s, 500, 7), "SELECT range AS pos, range + 7 AS v FROM range(500)")
