@@ -1,8 +1,8 @@
 """Audio columns: lossless 8-bit samples, log-mel features of speech-like segments, time spans.
 
 Method: polyphase resampling, overlapped log-mel filterbanks and hysteresis energy segmentation.
-Each segment is pooled to a tensor of one fixed shape, so a column of them is an Arrow fixed-shape
-tensor array (`tensors`).
+Segments are cut into windows of `SHAPE` frames x bands that hold every frame of the segment, so that a
+batch of them is an Arrow fixed-shape tensor array (`tensors`).
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from . import _tokens as tk
 
 STORED_RATE, RATE = 16_000, 8_000
-FRAME, HOP, FFT, MELS, BINS = 200, 80, 256, 24, 8
-SHAPE = (BINS, MELS)
+FRAME, HOP, FFT, MELS, WINDOW = 200, 80, 256, 24, 64
+SHAPE = (WINDOW, MELS)
+#: Log-mel value of silence; it fills the last window of a segment.
+FLOOR = -10.0
 UNIT = 64
 #: Frames that one step transforms.
 STEP = 8192
 
-SEGMENT = "array<struct<start: double, end: double, mel: array<float>>>"
+SEGMENT = "array<struct<start: double, end: double, segment: int, frames: int, mel: array<float>>>"
 SCHEMA = f"doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, segments {SEGMENT}"
 
 
@@ -120,27 +122,41 @@ def segments(energy: np.ndarray, high: float = 6.0, low: float = 12.0) -> list[t
 
 
 def features(payload: bytes, rate: int) -> list[dict]:
-    """Segments with start and end in seconds and a pooled log-mel tensor of shape `SHAPE`."""
+    """Windows of the segments, in order: start and end in seconds, number of the segment, frames filled, and
+    a log-mel tensor of shape `SHAPE`.  Every frame of a segment is in one window."""
     x = np.frombuffer(payload, np.uint8).astype(np.float32)
     y = resample((x - x.mean()) / 128, rate, RATE)
     mels, energy = log_mel(y)
     out = []
-    for a, b in segments(energy):
-        cut = np.linspace(a, b, BINS + 1)
-        lo = np.minimum(np.floor(cut[:-1]).astype(int), b - 1)
-        hi = np.maximum(np.ceil(cut[1:]).astype(int), lo + 1)
-        pooled = np.stack([mels[i:j].mean(axis=0) for i, j in zip(lo, hi)]).astype(np.float32)
-        out.append({"start": a * HOP / RATE, "end": min(len(y), (b - 1) * HOP + FRAME) / RATE, "mel": pooled.ravel()})
+    for k, (first, last) in enumerate(segments(energy)):
+        for a in range(first, last, WINDOW):
+            b = min(last, a + WINDOW)
+            mel = np.full(SHAPE, FLOOR, np.float32)
+            mel[: b - a] = mels[a:b]
+            out.append({"start": a * HOP / RATE, "end": min(len(y), (b - 1) * HOP + FRAME) / RATE, "segment": k, "frames": b - a, "mel": mel.ravel()})
     return out
 
 
 def tensors(mel: pa.Array) -> pa.ExtensionArray:
     """A column of ``mel`` lists as an Arrow fixed-shape tensor array."""
-    size = BINS * MELS
+    size = WINDOW * MELS
     storage = pa.FixedSizeListArray.from_arrays(mel.flatten().cast(pa.float32()), size)
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), SHAPE), storage)
 
 
+def windows(found: list[list[dict]]) -> pa.ListArray:
+    """The windows of each row.  Tensors are built with their fixed shape; Spark, which has no such type, gets their lists."""
+    flat = [w for row in found for w in row]
+    mel = pa.array(np.concatenate([w["mel"] for w in flat]) if flat else np.zeros(0, np.float32))
+    ends = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    lists = pa.ListArray.from_arrays(ends([len(w["mel"]) for w in flat]), mel)
+    shaped = tensors(lists).storage
+    column = pa.ListArray.from_arrays(ends([WINDOW * MELS] * len(flat)), shaped.flatten())
+    kinds = {"start": pa.float64(), "end": pa.float64(), "segment": pa.int32(), "frames": pa.int32()}
+    parts = [pa.array([w[n] for w in flat], t) for n, t in kinds.items()]
+    return pa.ListArray.from_arrays(ends([len(row) for row in found]), pa.StructArray.from_arrays([*parts, column], [*kinds, "mel"]))
+
+
 def audio(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     """Store each text as audio, read it back, and describe what was read.
 
@@ -148,16 +164,20 @@ def audio(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     empty) with zero bytes up to a positive multiple of 64, stored as a mono 8-bit WAV file in
     ``media``.  Returns one row per input row: ``doc_id, n_bytes`` (unpadded), ``media,
     payload_bytes, payload_sha256, tail_crc32`` (last 64 bytes; all of the payload as read back) and
-    ``segments`` (start and end in seconds, log-mel tensor of shape `SHAPE` as a list).
+    ``segments``: windows of the segments as `features` gives them, tensors as lists of `SHAPE` in row order.
 
     Each row depends on its text alone: rows may repeat, ids may be null, and equal texts give equal
     values.  A silent text (all bytes equal) is one segment.  An empty table gives an empty result.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mel = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("mel", pa.list_(pa.float32()))]))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), mel)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64())
         names = ["doc_id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "segments"]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            *plain, found = zip(*rows)
+            return pa.RecordBatch.from_arrays([*[pa.array(list(c), k) for c, k in zip(plain, kinds)], windows(found)], names)
+
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             raw, off = tk.utf8(batch.column("text"))
@@ -169,17 +189,17 @@ def audio(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
                 rows.append((doc_id, len(text), media, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), features(payload, rate)))
                 held += len(media)
                 if held >= batch_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+                    yield packed(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+                yield packed(rows)
 
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
 
 
 def digest(result: DataFrame) -> DataFrame:
     mean = lambda m: F.aggregate(m, F.lit(0.0), lambda a, x: a + x) / F.size(m)
-    each = F.transform("segments", lambda s: F.format_string("%.3f-%.3f:%.2f", s["start"], s["end"], mean(s["mel"])))
+    each = F.transform("segments", lambda s: F.format_string("%.3f-%.3f:%.2f", s["start"], s["end"], mean(F.slice(s["mel"], F.lit(1), s["frames"] * MELS))))
     return result.select(
         "doc_id",
         "n_bytes",
