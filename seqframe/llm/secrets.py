@@ -44,7 +44,10 @@ DICTIONARY = (
 ).split()
 ASKING = frozenset("token key secret password passwd pwd apikey api auth bearer credential credentials access private".split())
 TELLING = frozenset("sha sha1 sha256 md5 commit checksum digest hash etag uuid guid revision build image version integrity id path file url".split())
-FEATURES = ("length", "digits", "upper", "lower", "marks", "entropy", "switches", "runs", "hex", "covered", "slashes", "dots", "dashes", "extension", "path_before", "asking", "telling", "assigned", "quoted", "prefix")
+#: An asking word with what may stand between it and its value.
+ASK = re.compile(r"(?i)(?<![A-Za-z])(?:token|key|secret|password|passwd|pwd|apikey|api|auth|bearer|credentials?|access|private)(?![A-Za-z0-9_])[\"'\]]{0,2}(?:\s*[:=]+>?\s*|\s+)")
+_BARE = re.compile(r"[^\s&]+")
+FEATURES = ("length", "digits", "upper", "lower", "marks", "entropy", "switches", "runs", "hex", "covered", "slashes", "dots", "dashes", "extension", "path_before", "asking", "telling", "assigned", "quoted", "prefix", "unusual")
 _PREFIX = re.compile(r"(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|eyJ)")
 _EXTENSION = re.compile(r"\.[a-z]{1,5}$")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -55,6 +58,11 @@ def _dictionary() -> re.Pattern:
     return re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=len, reverse=True)))
 
 
+@cache
+def _pairs() -> frozenset:
+    return frozenset(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
+
+
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
@@ -67,6 +75,7 @@ def describe(before: str, candidate: str, after: str) -> list[float]:
     counts = [candidate.count(c) for c in set(candidate)]
     near = _WORD.findall(before.lower())[-3:] + _WORD.findall(after.lower())[:2]
     tail = before.rstrip()
+    pairs = [x for x in map("".join, zip(candidate.lower(), candidate[1:].lower())) if x.isalpha()]
     return [
         n,
         *share,
@@ -85,17 +94,40 @@ def describe(before: str, candidate: str, after: str) -> list[float]:
         tail.rstrip("\"'").rstrip().endswith(("=", ":")),
         before.endswith(('"', "'")),
         bool(_PREFIX.match(candidate)),
+        sum(x not in _pairs() for x in pairs) / max(1, len(pairs)),
     ]
 
 
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges of what follows an asking word: a quoted string, or else everything up to white space or ``&``."""
+    for m in ASK.finditer(text):
+        s = m.end()
+        quote = text[s : s + 1]
+        if quote and quote in "\"'`":
+            s += 1
+            e = text.find(quote, s)
+            line = text.find("\n", s, e) if e >= 0 else 0
+            if e > s and line < 0:
+                yield s, e
+                continue
+        bare = _BARE.match(text, s)
+        if bare and (x := bare.group().rstrip(",;.)]}\"'`")):
+            yield s, s + len(x)
+
+
 def candidates(text: str, window: int = 40) -> Iterator[tuple[int, int, str, str, str]]:
-    """Start, end, text before, candidate, text after; a candidate has a digit and a letter."""
+    """Start, end, text before, candidate, text after, in order.
+
+    A candidate is what follows an asking word, of any length and characters, or anywhere 16 or more
+    characters of tokens with a digit and a letter.  One may lie within another.
+    """
+    found = set(_values(text))
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
         x = m.group().rstrip(".-")
-        e = s + len(x)
         if len(x) >= 16 and any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
-            yield s, e, text[max(0, s - window) : s], x, text[e : e + window]
+            found.add((m.start(), m.start() + len(x)))
+    for s, e in sorted(found):
+        yield s, e, text[max(0, s - window) : s], text[s:e], text[e : e + window]
 
 
 def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str, int]]:
@@ -108,6 +140,26 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
     prose = lambda k: " ".join("".join(rng.choices(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ou", "ation", "le", "de"), k=rng.randint(1, 4))) for _ in range(k))
     asks = ("token", "api_key", "secret", "password", "auth_token", "access_key", "private_key", "client_secret", "credential")
     good = (lambda: hexa(40), lambda: hexa(32), lambda: hexa(64), lambda: "AKIA" + draw(alnum[:26] + "234567", 16), lambda: "ghp_" + draw(alnum, 36), lambda: draw(alnum, rng.randint(20, 48)), lambda: "xoxb-" + draw("0123456789", 12) + "-" + draw(alnum, 24), lambda: "eyJ" + draw(alnum, 60) + "." + draw(alnum, 40), lambda: base64.b64encode(rng.randbytes(rng.randint(24, 40))).decode(), lambda: "sk_live_" + draw(alnum, 24))
+    marks = "!@#$%^&*-_+?~"
+    letters = alnum[:52]
+    chosen = (
+        lambda: draw(letters, rng.randint(8, 24)),
+        lambda: draw(alnum + marks, rng.randint(7, 15)),
+        lambda: word().capitalize() + draw("0123456789", rng.randint(1, 4)) + draw(marks, rng.randint(1, 2)),
+        lambda: "".join(c if rng.random() < 0.7 else {"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c.upper()) for c in word() + word()) + draw(marks, 1) + draw("0123456789", rng.randint(1, 3)),
+    )
+    # what follows an asking word and is no secret: prose, names of things, placeholders, lookups
+    plain = (
+        lambda: word(),
+        lambda: prose(1),
+        lambda: prose(rng.randint(2, 6)),
+        lambda: rng.choice(("null", "None", "true", "false", "required", "string", "optional", "is", "of", "to", "for", "the", "and", "=", "-", "(", "|")),
+        lambda: rng.choice(("${", "{{", "$", "%", "<", "os.environ[", "getenv(", "self.", "config.")) + word().upper() + rng.choice(("}", "_" + word().upper(), ">", ")", "")),
+        lambda: rng.choice("*x.-") * rng.randint(3, 12),
+        lambda: f"your_{word()}_here",
+        lambda: word() + rng.choice((",", "-", "_", "/", "'s ", ".")) + word(),
+        lambda: str(rng.randint(0, 9999)),
+    )
     uuid = lambda: "-".join(hexa(k) for k in (8, 4, 4, 4, 12))
     bad = (
         lambda: (rng.choice(("commit ", "revision ", "sha1: ", "commit: ")), hexa(40)),
@@ -124,7 +176,13 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
     )
     out = []
     for i in range(n):
-        if i % 2:
+        if i % 8 == 3:
+            ask = rng.choice(asks) + rng.choice((" = \"", "=", ": ", " = '", ": \"", "=\""))
+            out.append((f"{prose(3)} {ask}", rng.choice(chosen)(), rng.choice(("\" ", "' ", " ", "\n")) + prose(3), 1))
+        elif i % 8 == 4:
+            ask = rng.choice((*asks, "access", "key", "auth", "private", "api")) + rng.choice((" = \"", "=", ": ", " = '", ": \"", " ", " ", " "))
+            out.append((f"{prose(3)} {ask}", rng.choice(plain)(), rng.choice(("\" ", "' ", " ", "\n")) + prose(3), 0))
+        elif i % 2:
             ask = rng.choice(asks) + rng.choice((" = \"", "=", ": ", " = '", ": \"", " "))
             out.append((f"{prose(3)} {ask}", rng.choice(good)(), rng.choice(("\" ", "' ", " ", "\n")) + prose(3), 1))
         else:

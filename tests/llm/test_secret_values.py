@@ -1,0 +1,27 @@
+"""What follows an asking word reaches the forest whatever its length and characters."""
+
+import numpy as np
+
+from seqframe.llm import secrets
+
+
+def test_values_after_asking_words(spark):
+    rows = [(1, 'password = "Tr0ub4dor&3" ok'), (2, 'the password = "qwhjKzpLmVtr" is'), (3, "see the access road, the password manager"), (4, "password: required"), (5, "é monkey: business")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, rows[r.doc_id - 1][1][r.start : r.end]) for r in got) == [(1, "Tr0ub4dor&3"), (2, "qwhjKzpLmVtr")]
+
+
+def test_candidates_of_odd_values():
+    found = lambda text: [c[3] for c in secrets.candidates(text)]
+    assert found("pwd=a") == ["a"] and found("secret: 'two words'") == ["two words"] and found('key="open') == ["open"]
+    assert found("token = " + "é" * 500 + " x") == ["é" * 500] and found("password:") == [] and found('password = ""') == []
+    assert found("?token=ab1&password=cd2") == ["ab1", "cd2"]
+    assert found("no asking here 0b1cea0846965f2d3ecb and passwords") == ["0b1cea0846965f2d3ecb"]
+
+
+def test_held_out_values():
+    findings = secrets.labelled_findings(3000, seed=9)
+    model = secrets.train(findings[:2000])
+    score = model.predict(np.array([secrets.describe(b, c, a) for b, c, a, _ in findings[2000:]], float))
+    kind = np.arange(2000, 3000) % 8
+    assert (score[kind == 3] >= 0.5).mean() >= 0.9 and (score[kind == 4] >= 0.5).mean() <= 0.05
