@@ -12,59 +12,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import dense_pos
 from ._shared import cut, named
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources that the plan may hold on the driver.
-MOST_SOURCES = 1_000_000
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def waterfill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Shares of ``total`` by weight, none above ``most`` times its size; the excess is dealt again by weight."""
-    targets, open_ = [0.0] * len(sizes), [i for i in range(len(sizes)) if sizes[i] > 0]
-    left = total
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > most * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = unit * weights[i]
-            break
-        for i in full:
-            targets[i] = most * sizes[i]
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return targets
+def fill_level(sources: DataFrame, share: float, most: float) -> float:
+    """The level at which ``least(most * source_size, level * w)`` shares out ``share`` times all words.
+
+    Sources that the level fills leave their excess to the others; each round is one distributed
+    aggregation, and the filled ones only become more.
+    """
+    level, before = 0.0, -1
+    words = F.col("source_size") * F.lit(most)
+    while True:
+        full = words < F.lit(level) * F.col("w")
+        sums = F.sum("source_size").alias("total"), F.count_if(full).alias("n"), F.sum(F.when(full, words)).alias("filled"), F.sum(F.when(~full, F.col("w"))).alias("open")
+        r = sources.filter("source_size > 0").agg(*sums).head()
+        if not r.open:
+            return float("inf")
+        if r.n == before:
+            return level
+        level, before = (share * r.total - (r.filled or 0.0)) / r.open, r.n
+
+
+def planned(cells: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """``source, source_size, target``: words and target words of each source, any number of them."""
+    sized = cut(cells.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")), "sources")
+    known = sized.filter("source IS NOT NULL")
+    last = sized.filter("source IS NULL").withColumn("_at", F.lit(known.count()).cast("long"))
+    ranked = dense_pos(known, "source", pos="_at").select("source", "source_size", "_at").unionByName(last)
+    own = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_at", F.lit(len(weights))) + 1).cast("int"))
+    ranked = cut(ranked.select("source", "source_size", own.alias("w")), "weighed")
+    goal = F.least(F.col("source_size") * F.lit(float(most)), F.lit(fill_level(ranked, share, most)) * F.col("w"))
+    return ranked.select("source", "source_size", F.when(F.col("source_size") > 0, goal).otherwise(F.lit(0.0)).alias("target"))
 
 
 def entropy_balance(strata: DataFrame, targets: DataFrame, steps: int = 50, tolerance: float = 1e-12) -> DataFrame:
     """``source, lam``: the dual solution for ``sum(size * exp(lam * c)) = target`` in every source.
 
     ``strata`` (source, size, n, c) holds documents counted by equal size and constraint value.  Each
-    step is one distributed aggregation of gradient and Hessian.  A target of 0 gives a null ``lam``
-    (rate 0).
+    step is one distributed aggregation of gradient and Hessian, and the solution is a stored frame,
+    so sources may be many.  A target of 0 gives a null ``lam`` (rate 0).
     """
-    spark = strata.sparkSession
-    goals = {r.source: r.target for r in targets.collect()}
-    lam = {s: 0.0 for s, t in goals.items() if t > 0}
+    mass = cut(strata.groupBy(F.col("source").alias("s"), "c").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("mass")), "masses")
+    now = targets.filter("target > 0").select("source", "target", F.lit(0.0).alias("lam"))
     for _ in range(steps):
-        now = spark.createDataFrame([(s, x) for s, x in lam.items()], "source string, lam double")
-        mass = F.col("size") * F.col("n") * F.exp(F.col("lam") * F.col("c"))
-        met = strata.join(now, strata["source"].eqNullSafe(now["source"])).groupBy(strata["source"])
-        sums = met.agg(F.sum(mass * F.col("c")).alias("g"), F.sum(mass * F.col("c") * F.col("c")).alias("h")).collect()
-        worst = 0.0
-        for r in sums:
-            gap = goals[r.source] - r.g
-            worst = max(worst, abs(gap) / goals[r.source])
-            # the dual is convex; the step is damped where the tilt is far below its goal
-            lam[r.source] += max(-2.0, min(2.0, gap / r.h))
-        if worst <= tolerance:
+        pull = F.col("mass") * F.exp(F.col("lam") * F.col("c")) * F.col("c")
+        met = now.join(mass, F.col("source").eqNullSafe(F.col("s"))).groupBy("source", "target", "lam")
+        sums = met.agg(F.sum(pull).alias("g"), F.sum(pull * F.col("c")).alias("h")).withColumn("gap", F.col("target") - F.col("g"))
+        # the dual is convex; the step is damped where the tilt is far below its goal
+        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("gap") / F.col("h")))
+        now = cut(sums.select("source", "target", (F.col("lam") + step).alias("lam"), (F.abs("gap") / F.col("target")).alias("worst")), "tilts")
+        if (now.agg(F.max("worst")).head()[0] or 0.0) <= tolerance:
             break
-    return spark.createDataFrame([(s, lam.get(s)) for s in goals], "source string, lam double")
+    return now.select("source", "lam").unionByName(targets.filter("target <= 0").select("source", F.lit(None).cast("double").alias("lam")))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, carry: list[str] | None = None) -> DataFrame:
@@ -87,14 +94,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     level = F.when(F.col("size") > 0, F.floor(F.log2("size") * 16) + 1).otherwise(0).cast("int")
     sized = bare.withColumns({"_class": level, "_cell": F.pmod(F.coalesce("_doc_id", F.lit(0)), F.lit(64)).cast("int")})
     cells = cut(sized.groupBy("_source", "_class", "_cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "cells")
-    rows = cells.groupBy("_source").agg(F.sum("words").alias("words")).orderBy(F.col("_source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [r.words for r in rows]
-    goals = waterfill(sizes, [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), most)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([(r[0], r.words, t) for r, t in zip(rows, goals)], "source string, source_size long, target double")
+    plan = planned(cells, weights, share, most)
     strata = cells.select(F.col("_source").alias("source"), F.col("words").alias("size"), F.lit(1).alias("n"), F.lit(1.0).alias("c"))
     lam = entropy_balance(strata, plan.select("source", "target"))
     rate = F.round(F.least(F.coalesce(F.exp("lam"), F.lit(0.0)), F.lit(most)), 9)
