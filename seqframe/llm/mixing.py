@@ -3,7 +3,8 @@
 Method: entropy balancing.  The mix minimises the token-weighted entropy of document rates relative to
 1 under one token constraint a source; its convex dual is solved by Newton steps whose gradients and
 Hessians are sums over the documents, and the solution is an exponential tilt exp(lambda . c) of each
-document's rate.  Rates are rounded into copies along strata of similar size, so that the taken tokens
+document's rate.  `mix` gives each document of a source the constraint value 1, as its SQL does, so
+there the tilt is ln(target / words) and one rate holds for the whole source.  Rates are rounded into copies along strata of similar size, so that the taken tokens
 stay near the target.
 """
 
