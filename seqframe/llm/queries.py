@@ -27,7 +27,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+    return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), batches=3, fanout=2))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Method: a log-structured fingerprint index.  Each batch of documents becomes a sorted immutable run
 of window fingerprints (one per trigger, `_tokens.runs`: all windows around a trigger share it).  The
-batch is merge-joined with the runs of earlier batches on the fingerprint; hits are verified on the
-words themselves; once ``fanout`` runs have gathered they are compacted into one that keeps the first
+batch is merge-joined with the runs of earlier batches on the fingerprint; phrases that share it and
+differ are compared word by word, while a phrase whose trigger and extent hashes (64 bits each) equal
+an earlier one's is taken for the same words without a look at them; once ``fanout`` runs have gathered they are compacted into one that keeps the first
 occurrence of each distinct phrase.
 """
 
@@ -55,7 +56,7 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
         """Index ``batch`` and return what is left of it (see `substring_dedup` for the columns).
 
-        ``earlier`` gives ``doc_id, text`` of the batches added before; hits are verified on it.
+        ``earlier`` gives ``doc_id, text`` of the batches added before; hits that differ as phrases are compared on it.
         """
         name = f"{self.path}/run-{len(self.runs):05d}-{uuid.uuid4().hex}"
         phrases(batch, "words", self.width, self.gram).sortWithinPartitions("key").write.parquet(name)
@@ -79,13 +80,13 @@ class FingerprintIndex:
         self.runs = [name]
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 5, batches: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 5, batches: int = 2, fanout: int = 4) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts earlier.
 
     Earlier means in a document of smaller ``doc_id``, or before in the same text; windows are judged
     on the input.  Words are runs of characters other than 0x20 and 0x09 to 0x0D.  Needs ``doc_id``
     (integer) and ``text``; other columns are ignored.  ``batches`` ranges of ``doc_id`` pass through
-    one `FingerprintIndex` in order; their number does not change the result.
+    one `FingerprintIndex` in order, which is compacted at ``fanout`` runs; neither changes the result.
 
     Returns one row per input row: ``doc_id, n_tokens`` (words), ``n_removed, spans`` (maximal removed
     word ranges), ``kept`` (UTF-8, one space between words).  Null texts count as empty; shorter texts
@@ -96,7 +97,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 5, batches: in
     spark = docs.sparkSession
     bounds = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0]).alias("b")).head().b or []
     bounds = sorted(set(bounds[: batches - 1]))
-    index = FingerprintIndex(spark, width=width, gram=gram)
+    index = FingerprintIndex(spark, width=width, gram=gram, fanout=fanout)
     out, low = None, None
     for high in [*bounds, None]:
         part = docs if low is None else docs.filter(F.col("doc_id") > low)
