@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.ranking import div
 from .math import gcd
 
 
@@ -225,33 +226,44 @@ def ctanh(z: Column) -> Column:
     return cdiv(csinh(z), ccosh(z))
 
 
-def _times_i(z: Column, sign: float = 1.0) -> Column:
-    return complex_(-z["im"] * sign, z["re"] * sign)
+def _focal(x: Column, y: Column) -> tuple[Column, Column]:
+    """Half the sum of the distances to 1 and -1, and the real part over it: cosh and sine of the inverse sine's parts."""
+    half = F.greatest((F.hypot(x + 1.0, y) + F.hypot(x - 1.0, y)) / 2.0, F.lit(1.0))
+    return half, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x / half))
 
 
-def casinh(z: Column) -> Column:
-    return clog(cadd(z, csqrt(cadd(cmul(z, z), complex_(1.0)))))
+def _signed(size: Column, sign: Column) -> Column:
+    return F.when(sign < 0, -size).otherwise(size)
 
 
-def cacosh(z: Column) -> Column:
-    return clog(cadd(z, cmul(csqrt(cadd(z, complex_(1.0))), csqrt(csub(z, complex_(1.0))))))
+def casin(z: Column) -> Column:
+    a, b = _focal(z["re"], z["im"])
+    return complex_(F.asin(b), _signed(F.acosh(a), z["im"]))
 
 
-def catanh(z: Column) -> Column:
-    w = csub(clog(cadd(complex_(1.0), z)), clog(csub(complex_(1.0), z)))
-    return complex_(w["re"] / 2, w["im"] / 2)
+def cacos(z: Column) -> Column:
+    a, b = _focal(z["re"], z["im"])
+    return complex_(F.acos(b), -_signed(F.acosh(a), z["im"]))
 
 
-def casin(z: Column) -> Column:
-    return _times_i(casinh(_times_i(z)), -1.0)
+def catan(z: Column) -> Column:
+    x, y = z["re"], z["im"]
+    return complex_(F.atan2(x * 2.0, 1.0 - x * x - y * y) / 2.0, F.log((x * x + (y + 1.0) * (y + 1.0)) / (x * x + (y - 1.0) * (y - 1.0))) / 4.0)
 
 
-def cacos(z: Column) -> Column:
-    return csub(complex_(1.5707963267948966), casin(z))
+def casinh(z: Column) -> Column:
+    a, b = _focal(-z["im"], z["re"])
+    return complex_(_signed(F.acosh(a), z["re"]), -F.asin(b))
 
 
-def catan(z: Column) -> Column:
-    return _times_i(catanh(_times_i(z)), -1.0)
+def cacosh(z: Column) -> Column:
+    a, b = _focal(z["re"], z["im"])
+    return complex_(F.acosh(a), _signed(F.acos(b), z["im"]))
+
+
+def catanh(z: Column) -> Column:
+    x, y = z["re"], z["im"]
+    return complex_(F.log(((x + 1.0) * (x + 1.0) + y * y) / ((1.0 - x) * (1.0 - x) + y * y)) / 4.0, F.atan2(y * 2.0, 1.0 - x * x - y * y) / 2.0)
 
 
 # ratios: struct(num, den) in lowest terms, den > 0
@@ -260,7 +272,7 @@ def catan(z: Column) -> Column:
 def ratio(num, den=1) -> Column:
     n, d = (x if isinstance(x, Column) else F.lit(int(x)) for x in (num, den))
     g = F.greatest(gcd(n, d), F.lit(1)) * F.when(d < 0, -1).otherwise(1)
-    return F.struct((n / g).cast("long").alias("num"), (d / g).cast("long").alias("den"))
+    return F.struct(div(n.cast("long"), g).alias("num"), div(d.cast("long"), g).alias("den"))
 
 
 def ratio_add(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..plans.ranking import div
+
 acos, acosh, asin, asinh, atan, atan2, atanh = F.acos, F.acosh, F.asin, F.asinh, F.atan, F.atan2, F.atanh
 cbrt, ceil, cos, cosh, exp, expm1, fabs, floor = F.cbrt, F.ceil, F.cos, F.cosh, F.exp, F.expm1, F.abs, F.floor
 hypot, log, log10, log1p, log2, pow, sin, sinh, sqrt, tan, tanh = F.hypot, F.log, F.log10, F.log1p, F.log2, F.pow, F.sin, F.sinh, F.sqrt, F.tan, F.tanh
@@ -29,10 +32,6 @@ def fdim(a: Column, b: Column) -> Column:
     return F.when(a > b, a - b).otherwise(F.lit(0.0))
 
 
-def fma(a: Column, b: Column, c: Column) -> Column:
-    return a * b + c
-
-
 def fmax(a: Column, b: Column) -> Column:
     """The larger; NaN counts as missing."""
     return F.when(F.isnan(a), b).when(F.isnan(b), a).otherwise(F.greatest(a, b))
@@ -47,13 +46,19 @@ def fmod(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(float("nan"))).otherwise(_d(a) % _d(b))
 
 
+#: From here on every double is a whole number.
+_WHOLE = float(1 << 52)
+
+
 def trunc(x: Column) -> Column:
-    return F.signum(x) * F.floor(F.abs(x))
+    """The whole part; infinities, NaN and large numbers stay as they are."""
+    return F.when(F.abs(_d(x)) < _WHOLE, F.signum(_d(x)) * F.floor(F.abs(_d(x)))).otherwise(_d(x))
 
 
 def round(x: Column) -> Column:
     """Half away from zero."""
-    return F.signum(x) * F.floor(F.abs(x) + 0.5)
+    whole = trunc(x)
+    return F.when(F.abs(_d(x) - whole) >= 0.5, whole + F.signum(_d(x))).otherwise(whole)
 
 
 def modf(x: Column) -> Column:
@@ -72,7 +77,12 @@ def remquo(a: Column, b: Column) -> Column:
 
 
 def copysign(a: Column, b: Column) -> Column:
-    return F.abs(a) * F.when(b < 0, -1.0).otherwise(1.0)
+    minus = (b < 0) | ((b == 0) & F.startswith(_d(b).cast("string"), F.lit("-")))
+    return F.abs(_d(a)) * F.when(minus, -1.0).otherwise(1.0)
+
+
+def signbit(x: Column) -> Column:
+    return copysign(F.lit(1.0), x) < 0
 
 
 def isinf(x: Column) -> Column:
@@ -165,13 +175,30 @@ def frexp(x: pd.Series) -> pd.DataFrame:
 scalbn = ldexp
 
 
+@pandas_udf(T.DoubleType())
+def fma(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    """a b + c, rounded once."""
+    return pd.Series(list(map(_fma, a.to_numpy(float), b.to_numpy(float), c.to_numpy(float))))
+
+
+def _fma(a: float, b: float, c: float) -> float:
+    try:
+        return float(Fraction(a) * Fraction(b) + Fraction(c))
+    except (ValueError, OverflowError):  # infinities, NaN, and results beyond the largest double
+        return a * b + c
+
+
+@pandas_udf(T.LongType())
+def _gcd(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(np.gcd(a.to_numpy(np.int64), b.to_numpy(np.int64)))
+
+
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor: Euclid's steps over an array as long as 64-bit numbers can need."""
-    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, 1).otherwise(s["y"])).alias("y")))
-    start = F.struct(F.abs(a).cast("long").alias("x"), F.abs(b).cast("long").alias("y"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["x"])
+    """Greatest common divisor of whole numbers; null if either is."""
+    whole = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    return F.when(a.isNotNull() & b.isNotNull(), _gcd(whole(a), whole(b)))
 
 
 def lcm(a: Column, b: Column) -> Column:
     g = gcd(a, b)
-    return F.when(g == 0, F.lit(0).cast("long")).otherwise(F.floor(F.abs(a) / F.greatest(g, F.lit(1))).cast("long") * F.abs(b).cast("long"))
+    return F.when(g == 0, F.lit(0).cast("long")).otherwise(div(F.abs(a.cast("long")), g) * F.abs(b.cast("long")))

@@ -215,6 +215,15 @@ def numbers(spark: SparkSession, n: int, engine, start: int = 0) -> DataFrame:
     return out.withColumn("pos", F.col("pos") - start) if start else out
 
 
+def vectors(spark: SparkSession, n: int, engine, width: int) -> DataFrame:
+    """``pos, v``: the vector forms of the engines, ``width`` consecutive outputs a row."""
+    out = spark.range(n).select(F.col("id").alias("pos"))
+    names = [f"_v{i}" for i in range(width)]
+    for i, name in enumerate(names):
+        out = outputs(out, engine, name, i, width)
+    return out.select("pos", F.array(*names).alias("v"))
+
+
 # Distributions.  ``u`` is a uniform column in [0, 1), see `uniform`.
 
 

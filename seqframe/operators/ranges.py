@@ -1,7 +1,6 @@
 """Range forms: the same operators with a projection of the elements, and bounded outputs.
 
-Every name of the range interface is one operator of this package; those without a ``proj`` of their
-own take projected frames from `projected`.
+Operators whose iterator form already takes a projection have the same function under both names.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ transform_inclusive_scan, transform_exclusive_scan = aggregate.transform_inclusi
 
 
 def search_range(s: DataFrame, pattern, test=search._same, proj=lambda c: c) -> DataFrame:
-    return search.search(projected(s, proj), pattern, test)
+    return search.search(s, pattern, test, proj)
 
 
 def copy_if_limited(s: DataFrame, pred, size: int, proj=lambda c: c) -> DataFrame:

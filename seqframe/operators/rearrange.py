@@ -7,17 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import compact, neighbour
-from ..plans.ranking import BUCKET, place
+from ..plans import compact, islands
+from ..plans.ranking import col, fresh, grouped_pos, length, sized
 
 Pred = Callable[[Column], Column]
 
 
-def _length(s: DataFrame) -> DataFrame:
-    """One row with the length; joined as a single row, broadcast by its known size."""
-    return F.broadcast(s.agg(F.count(F.lit(1)).alias("_n")))
-
-
 def _kept(s: DataFrame, keep: Column) -> DataFrame:
     return compact(s.filter(F.coalesce(keep, F.lit(False))))
 
@@ -103,17 +98,18 @@ remove_copy, remove_copy_if = remove, remove_if
 
 
 def unique(s: DataFrame, same: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Keep the first of each run of consecutive equal elements."""
-    test = same or (lambda a, b: a.eqNullSafe(b))
-    out = neighbour(s, "v", -1, "_before").filter(F.col("_edge") | ~test(F.col("_before"), F.col("v")))
-    return compact(out.select(*s.columns))
+    """Keep the first of each run of consecutive equal elements; the number of the run is its new position."""
+    run, first = fresh(s, "_run", "_first")
+    out = islands(s, "v", same, run, first).filter(first)
+    return out.withColumn("pos", F.col(run) - 1).select(*map(col, s.columns))
 
 
 unique_copy = unique
 
 
 def reverse(s: DataFrame) -> DataFrame:
-    return s.join(_length(s)).withColumn("pos", F.col("_n") - 1 - F.col("pos")).drop("_n")
+    n = length(s)
+    return sized(s.withColumn("pos", F.lit(n - 1) - F.col("pos")), n)
 
 
 reverse_copy = reverse
@@ -121,7 +117,8 @@ reverse_copy = reverse
 
 def rotate(s: DataFrame, middle: int) -> DataFrame:
     """The element at ``middle`` becomes the first."""
-    return s.join(_length(s)).withColumn("pos", F.pmod(F.col("pos") - middle, F.col("_n"))).drop("_n")
+    n = length(s)
+    return sized(s.withColumn("pos", F.pmod(F.col("pos") - middle, F.lit(n or 1)).cast("long")), n)
 
 
 rotate_copy = rotate
@@ -136,14 +133,13 @@ def shift_right(s: DataFrame, n: int) -> DataFrame:
     """Drop the last ``n`` and move the rest back by ``n``; unchanged for n <= 0."""
     if n <= 0:
         return s.select("*")
-    return s.join(_length(s)).filter(F.col("pos") < F.col("_n") - n).withColumn("pos", F.col("pos") + n).drop("_n")
+    return s.filter(F.col("pos") < length(s) - n).withColumn("pos", F.col("pos") + n)
 
 
 def stable_partition(s: DataFrame, pred: Pred) -> DataFrame:
     """Elements that pass first; order kept in both groups."""
-    late = F.when(F.coalesce(pred(F.col("v")), F.lit(False)), 0).otherwise(1)
-    out = place(s.withColumnRenamed("pos", "_old"), {"_late": late, "_b": F.floor(F.col("_old") / BUCKET)}, [F.col("_old")])
-    return out.drop("_old").select(*s.columns)
+    late, old = F.when(F.coalesce(pred(F.col("v")), F.lit(False)), 0).otherwise(1), fresh(s, "_old")[0]
+    return grouped_pos(s.withColumnRenamed("pos", old), late, old).select(*map(col, s.columns))
 
 
 partition = stable_partition

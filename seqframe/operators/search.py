@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import neighbour, running
+from .sorting import By, keyed
 
 Pred = Callable[[Column], Column]
 Test = Callable[[Column, Column], Column]
@@ -41,9 +42,9 @@ def none_of(s: DataFrame, pred: Pred, proj: Pred = lambda c: c) -> DataFrame:
     return _one(s, ~F.coalesce(F.bool_or(pred(proj(F.col("v")))), F.lit(False)))
 
 
-def for_each(s: DataFrame, f: Pred) -> DataFrame:
-    """Apply ``f`` to every element in place."""
-    return s.withColumn("v", f(F.col("v")))
+def for_each(s: DataFrame, f: Pred, proj: Pred = lambda c: c) -> DataFrame:
+    """Apply ``f`` to every projected element in place."""
+    return s.withColumn("v", f(proj(F.col("v"))))
 
 
 def for_each_n(s: DataFrame, n: int, f: Pred) -> DataFrame:
@@ -76,9 +77,10 @@ def find_first_of_frame(s: DataFrame, values: DataFrame) -> DataFrame:
     return hit.join(s.agg(F.count(F.lit(1)).alias("n"))).select(F.coalesce("p", "n").alias("result"))
 
 
-def adjacent_find(s: DataFrame, test: Test = _same) -> DataFrame:
-    out = neighbour(s, "v", 1, "_next")
-    return _first(out, ~F.col("_edge") & test(F.col("v"), F.col("_next")))
+def adjacent_find(s: DataFrame, test: Test = _same, proj: Pred = lambda c: c) -> DataFrame:
+    """First position whose projected element passes ``test`` with the next one."""
+    out = neighbour(s.select("pos", "v"), "v", 1, "_next")
+    return _first(out, ~F.col("_edge") & test(proj(F.col("v")), proj(F.col("_next"))))
 
 
 def count(s: DataFrame, value, proj: Pred = lambda c: c) -> DataFrame:
@@ -97,31 +99,52 @@ def _matches(s: DataFrame, pattern: Sequence, test: Test) -> DataFrame:
     return starts.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(pattern))
 
 
+def _matches_frame(s: DataFrame, pattern: DataFrame, proj: Pred) -> DataFrame:
+    """The same for a pattern that is a sequence of any length.
+
+    Its value that is rarest in ``s`` gives the candidates; each is compared element by element.
+    """
+    x, y = s.select("pos", proj(F.col("v")).alias("v")), pattern.select(F.col("pos").alias("i"), F.col("v").alias("w"))
+    freq = y.join(x.groupBy("v").agg(F.count(F.lit(1)).alias("n")), F.col("v").eqNullSafe(F.col("w")), "left")
+    anchor = freq.agg(F.min_by(F.struct("i", "w"), F.struct(F.coalesce("n", F.lit(0)), "i")).alias("a"), F.count(F.lit(1)).alias("m")).select("a.i", "a.w", "m")
+    found = x.join(F.broadcast(anchor), F.col("v").eqNullSafe(F.col("w"))).select((F.col("pos") - F.col("i")).alias("start"), "m").filter("start >= 0")
+    each = found.select("start", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
+    at = each.join(y, "i").withColumn("pos", F.col("start") + F.col("i"))
+    same = at.join(x, "pos").filter(F.col("v").eqNullSafe(F.col("w")))
+    return same.groupBy("start", "m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.col("m"))
+
+
 def _with_default(s: DataFrame, hit: DataFrame) -> DataFrame:
     """A one-row position, or the length."""
     return hit.join(s.agg(F.count(F.lit(1)).alias("_n"))).select(F.coalesce("p", "_n").alias("result"))
 
 
-def search(s: DataFrame, pattern: Sequence, test: Test = _same) -> DataFrame:
-    """First start of ``pattern``; 0 for an empty one."""
+def search(s: DataFrame, pattern: Sequence | DataFrame, test: Test = _same, proj: Pred = lambda c: c) -> DataFrame:
+    """First start of ``pattern``, a list or a sequence; 0 for an empty one.  ``test`` holds for lists."""
+    if isinstance(pattern, DataFrame):
+        empty = pattern.agg((F.count(F.lit(1)) == 0).alias("_none"))
+        out = _with_default(s, _matches_frame(s, pattern, proj).agg(F.min("start").alias("p")))
+        return out.join(F.broadcast(empty)).select(F.when(F.col("_none"), F.lit(0).cast("long")).otherwise(F.col("result")).alias("result"))
     if not len(pattern):
         return _one(s, F.lit(0).cast("long"))
-    return _with_default(s, _matches(s, pattern, test).agg(F.min("start").alias("p")))
+    return _with_default(s, _matches(s.withColumn("v", proj(F.col("v"))), pattern, test).agg(F.min("start").alias("p")))
 
 
-def find_end(s: DataFrame, pattern: Sequence, test: Test = _same) -> DataFrame:
-    """Last start of ``pattern``; the length for an empty one."""
+def find_end(s: DataFrame, pattern: Sequence | DataFrame, test: Test = _same, proj: Pred = lambda c: c) -> DataFrame:
+    """Last start of ``pattern``, a list or a sequence; the length for an empty one."""
+    if isinstance(pattern, DataFrame):
+        return _with_default(s, _matches_frame(s, pattern, proj).agg(F.max("start").alias("p")))
     if not len(pattern):
         return _one(s, F.count(F.lit(1)))
-    return _with_default(s, _matches(s, pattern, test).agg(F.max("start").alias("p")))
+    return _with_default(s, _matches(s.withColumn("v", proj(F.col("v"))), pattern, test).agg(F.max("start").alias("p")))
 
 
-def search_n(s: DataFrame, n: int, value, test: Test = _same) -> DataFrame:
-    """First start of ``n`` consecutive elements that pass ``test`` with ``value``; 0 for n <= 0."""
+def search_n(s: DataFrame, n: int, value, test: Test = _same, proj: Pred = lambda c: c) -> DataFrame:
+    """First start of ``n`` consecutive projected elements that pass ``test`` with ``value``; 0 for n <= 0."""
     if n <= 0:
         return _one(s, F.lit(0).cast("long"))
-    hit = test(F.col("v"), F.lit(value))
-    out = running(s, F.when(~F.coalesce(hit, F.lit(False)), F.col("pos")), "max", "_gap")
+    hit = test(proj(F.col("v")), F.lit(value))
+    out = running(s.select("pos", "v"), F.when(~F.coalesce(hit, F.lit(False)), F.col("pos")), "max", "_gap")
     long = F.col("pos") - F.coalesce("_gap", F.lit(-1)) >= n
     return _one(out, F.coalesce(F.min(F.when(long, F.col("pos") - n + 1)), F.count(F.lit(1))))
 
@@ -141,9 +164,9 @@ def mismatch(a: DataFrame, b: DataFrame, test: Test = _same) -> DataFrame:
     return out.select(F.coalesce("p", "n").alias("result"))
 
 
-def equal(a: DataFrame, b: DataFrame, test: Test = _same) -> DataFrame:
-    """Equal lengths and equal elements; two empty sequences are equal."""
-    passes = F.col("in_a") & F.col("in_b") & test(F.col("a"), F.col("b"))
+def equal(a: DataFrame, b: DataFrame, test: Test = _same, proj: Pred = lambda c: c, proj_b: Pred = lambda c: c) -> DataFrame:
+    """Equal lengths and equal projected elements; two empty sequences are equal."""
+    passes = F.col("in_a") & F.col("in_b") & test(proj(F.col("a")), proj_b(F.col("b")))
     return _zip(a, b, "full").agg(F.coalesce(F.bool_and(F.coalesce(passes, F.lit(False))), F.lit(True)).alias("result"))
 
 
@@ -156,12 +179,12 @@ def lexicographical_compare(a: DataFrame, b: DataFrame, less: Test = _less) -> D
 
 
 def is_sorted_until(s: DataFrame, less: Test = _less, proj: Pred = lambda c: c) -> DataFrame:
-    out = neighbour(s, "v", -1, "_before")
+    out = neighbour(s.select("pos", "v"), "v", -1, "_before")
     return _first(out, ~F.col("_edge") & less(proj(F.col("v")), proj(F.col("_before"))))
 
 
 def is_sorted(s: DataFrame, less: Test = _less, proj: Pred = lambda c: c) -> DataFrame:
-    out = neighbour(s, "v", -1, "_before")
+    out = neighbour(s.select("pos", "v"), "v", -1, "_before")
     return _one(out, F.coalesce(F.bool_and(F.col("_edge") | ~less(proj(F.col("v")), proj(F.col("_before")))), F.lit(True)))
 
 
@@ -183,9 +206,11 @@ def is_heap(s: DataFrame, less: Test = _less) -> DataFrame:
     return is_heap_until(s, less).join(n).select((F.col("result") == F.col("n")).alias("result"))
 
 
-def includes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Whether ``a`` holds every element of ``b`` at least as often."""
-    x = a.groupBy("v").agg(F.count(F.lit(1)).alias("n_a"))
-    y = b.groupBy("v").agg(F.count(F.lit(1)).alias("n_b"))
+def includes(a: DataFrame, b: DataFrame, by: By | None = None, proj: Pred = lambda c: c) -> DataFrame:
+    """Whether ``a`` holds every element of ``b`` at least as often; elements with equal keys of ``by`` are the same."""
+    x, names, _ = keyed(a.select("v"), by or (lambda c: c), proj=proj)
+    y, other, _ = keyed(b.select("v"), by or (lambda c: c), proj=proj)
+    x = x.groupBy(F.struct(*[F.col(k) for k in names]).alias("v")).agg(F.count(F.lit(1)).alias("n_a"))
+    y = y.groupBy(F.struct(*[F.col(o).alias(k) for o, k in zip(other, names)]).alias("v")).agg(F.count(F.lit(1)).alias("n_b"))
     short = F.coalesce("n_a", F.lit(0)) < F.col("n_b")
     return y.join(x, x["v"].eqNullSafe(y["v"]), "left").agg((F.count_if(short) == 0).alias("result"))

@@ -1,134 +1,288 @@
-"""Sorts, selections, merges, extremes, and multiset operations on sorted sequences."""
+"""Sorts, selections, merges, extremes, and multiset operations on sorted sequences.
+
+The order of elements is natural unless ``by`` and ``descending`` say otherwise: ``by`` maps an element to
+one Column or several, which are compared one after another, and ``descending`` holds for all of them or is
+a list with one flag for each.  Nulls come first in rising order, NaN last.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import dense_pos
-from ..plans.ranking import BUCKET, place
+from ..plans.ranking import BUCKET, attach, carried, col, fresh, gathered, grouped_pos, length, leveled, ordering, sized
 
+By = Callable[[Column], "Column | Sequence[Column]"]
 #: Copies of one value that a generator row expands at once.
 CHUNK = 1_000_000
 
 
-def _sorted(s: DataFrame, key: str, descending: bool, proj=None) -> DataFrame:
-    down = [key] if descending else []
-    if proj is not None:
-        work = s.withColumnRenamed("pos", "_old").withColumn("_key", proj(F.col(key)))
-        out = dense_pos(work, "_key", descending=["_key"] if descending else [], tie="_old").drop("_key")
+def keyed(s: DataFrame, by: By | None = None, descending: bool | Sequence[bool] = False, proj: Callable | None = None, element: str = "v") -> tuple[DataFrame, list[str], list[str]]:
+    """``s`` with the columns to compare, their names, and the names of the falling ones."""
+    if by is None and proj is None:
+        names, work = [element], s
     else:
-        out = dense_pos(s.withColumnRenamed("pos", "_old"), key, descending=down, tie="_old")
-    return out.drop("_old").select(*s.columns)
+        x = proj(col(element)) if proj else col(element)
+        keys = by(x) if by else x
+        keys = list(keys) if isinstance(keys, list | tuple) else [keys]
+        names = fresh(s, *["_key"] * len(keys))
+        work = s.withColumns(dict(zip(names, keys)))
+    flags = [descending] * len(names) if isinstance(descending, bool) else list(descending)
+    if len(flags) != len(names):
+        raise ValueError(f"{len(names)} keys need as many directions, not {len(flags)}")
+    return work, names, [n for n, d in zip(names, flags) if d]
+
+
+def _sorted(s: DataFrame, element: str, by: By | None, descending, proj=None, rows: int = BUCKET) -> DataFrame:
+    work, names, down = keyed(s, by, descending, proj, element)
+    old = fresh(work, "_old")[0]
+    n = length(s)
+    moved = sized(work.withColumnRenamed("pos", old), n)
+    return sized(dense_pos(moved, *names, descending=down, tie=old, rows=rows).select(*map(col, s.columns)), n)
 
 
-def sort(s: DataFrame, descending: bool = False, proj=None) -> DataFrame:
-    return _sorted(s, "v", descending, proj)
+def sort(s: DataFrame, descending: bool | Sequence[bool] = False, proj=None, by: By | None = None, rows: int = BUCKET) -> DataFrame:
+    """In order; equal elements keep theirs.  ``rows`` is what one task's bucket is meant to hold."""
+    return _sorted(s, "v", by, descending, proj, rows)
 
 
 stable_sort = sort
 
 
-def sort_by_key(s: DataFrame, descending: bool = False) -> DataFrame:
+def sort_by_key(s: DataFrame, descending: bool | Sequence[bool] = False, by: By | None = None, rows: int = BUCKET) -> DataFrame:
     """Order by column ``k``; values move with their keys, equal keys keep their order."""
-    return _sorted(s, "k", descending)
+    return _sorted(s, "k", by, descending, None, rows)
 
 
 stable_sort_by_key = sort_by_key
 
 
-def partial_sort_copy(s: DataFrame, k: int, descending: bool = False) -> DataFrame:
-    """The ``k`` smallest in order (top-k plan: no full sort)."""
-    v = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_first()
-    top = s.orderBy(v, "pos").limit(k)
-    return dense_pos(top.withColumnRenamed("pos", "_old"), "v", descending=["v"] if descending else [], tie="_old", bounds=1).drop("_old").select(*s.columns)
-
-
-def _pivot(s: DataFrame, n: int) -> list:
-    """(value, old position) of the element that a sort puts at ``n``."""
-    out = dense_pos(s.withColumnRenamed("pos", "_old"), "v", tie="_old").filter(F.col("pos") == n)
-    return out.select("v", "_old").head(1)
-
-
-def nth_element(s: DataFrame, n: int) -> DataFrame:
-    """``pos, v``: the element of rank ``n`` at ``n``, smaller or equal ones before, others after, each in order."""
-    found = _pivot(s, n)
-    if not found:
+def _selected(s: DataFrame, n: int, by: By | None, descending) -> tuple[DataFrame, list[str], list[str], str, str, int | None, int]:
+    """Rows dealt into ordered buckets, and the bucket that holds rank ``n`` with the rows before it (None: no such rank)."""
+    work, names, down = keyed(s, by, descending)
+    old, level = fresh(work, "_old", "_level")
+    work = sized(work.withColumnRenamed("pos", old), length(s))
+    dealt, total = leveled(work, level, names, down, old)
+    if not 0 <= n < total:
+        return dealt, names, down, old, level, None, total
+    if total <= BUCKET:
+        return dealt, names, down, old, level, 0, 0
+    before = 0
+    for r in sorted(gathered(dealt, [level], F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r[0]):
+        if n < before + r.n:
+            return dealt, names, down, old, level, r[0], before
+        before += r.n
+    return dealt, names, down, old, level, None, total
+
+
+def partial_sort_copy(s: DataFrame, k: int, descending: bool | Sequence[bool] = False, by: By | None = None) -> DataFrame:
+    """The ``k`` smallest in order: only the buckets that hold them are sorted."""
+    dealt, names, down, old, level, at, before = _selected(s, k - 1, by, descending)
+    if k <= 0:
+        return s.filter(F.lit(False))
+    front = dealt if at is None else dealt.filter(F.col(level) <= at)
+    out = dense_pos(front.drop(level), *names, descending=down, tie=old)
+    return out.filter(F.col("pos") < k).select(*map(col, s.columns))
+
+
+def _pivot(s: DataFrame, n: int, by: By | None, descending) -> DataFrame | None:
+    """One row with the element that a sort puts at ``n``, its keys, and its position under the name that follows."""
+    dealt, names, down, old, level, at, before = _selected(s, n, by, descending)
+    if at is None:
+        return None
+    return dealt.filter(F.col(level) == at).orderBy(*ordering(names, down, old)).offset(n - before).limit(1).drop(level).withColumnRenamed(old, "pos")
+
+
+def nth_value(s: DataFrame, n: int, descending: bool | Sequence[bool] = False, by: By | None = None) -> DataFrame:
+    """The element of rank ``n``, found in the one bucket that holds it."""
+    found = _pivot(s, n, by, descending)
+    return (s.filter(F.lit(False)) if found is None else found).select(F.col("v").alias("result"))
+
+
+def _behind(keys: Sequence[str], down: Sequence[str], old: str, pivot: dict[str, Column]) -> Column:
+    """-1, 0 or 1 for rows before, at and behind the pivot; nulls and NaN have their place in the order."""
+    out = F.when(col(old) < pivot["pos"], -1).when(col(old) > pivot["pos"], 1).otherwise(0)
+    for k in reversed(keys):
+        a, b = F.struct(col(k).alias("x")), F.struct(pivot[k].alias("x"))
+        first, last = (1, -1) if k in down else (-1, 1)
+        out = F.when(a < b, first).when(a > b, last).otherwise(out)
+    return out
+
+
+def nth_element(s: DataFrame, n: int, descending: bool | Sequence[bool] = False, by: By | None = None) -> DataFrame:
+    """The element of rank ``n`` at ``n``, smaller or equal ones before, others after, each in order."""
+    found = _pivot(s, n, by, descending)
+    row = found and found.collect()
+    if not row:
         return s.select("*")
-    v, old = found[0]
-    group = F.when((F.col("v") < F.lit(v)) | ((F.col("v") == F.lit(v)) & (F.col("_old") < old)), 0).when(F.col("_old") == old, 1).otherwise(2)
-    return place(s.withColumnRenamed("pos", "_old"), {"_g": group, "_b": F.floor(F.col("_old") / BUCKET)}, [F.col("_old")]).select(*s.columns)
-
-
-def nth_value(s: DataFrame, n: int) -> DataFrame:
-    return dense_pos(s.withColumnRenamed("pos", "_old"), "v", tie="_old").filter(F.col("pos") == n).select(F.col("v").alias("result"))
-
-
-def partial_sort(s: DataFrame, middle: int) -> DataFrame:
-    """The ``middle`` smallest sorted in front; the others behind them in their old order."""
-    ranked = dense_pos(s.withColumnRenamed("pos", "_old"), "v", tie="_old", pos="_rank")
-    front = F.col("_rank") < middle
-    order = F.when(front, F.col("_rank")).otherwise(F.col("_old"))
-    return place(ranked, {"_g": F.when(front, 0).otherwise(1), "_b": F.floor(order / BUCKET)}, [order]).select(*s.columns)
-
-
-def merge(a: DataFrame, b: DataFrame, limit: int | None = None) -> DataFrame:
-    """Stable merge of two sorted sequences, ties from ``a`` first; at most ``limit`` elements."""
-    n = F.broadcast(a.agg(F.count(F.lit(1)).alias("_n")))
-    both = a.select(F.col("pos").alias("_old"), "v").unionByName(b.join(n).select((F.col("pos") + F.col("_n")).alias("_old"), "v"))
-    out = dense_pos(both, "v", tie="_old").select("pos", "v")
-    return out if limit is None else out.filter(F.col("pos") < limit)
+    work, names, down = keyed(s, by, descending)
+    old = fresh(work, "_old")[0]
+    # the pivot is attached as one row: literals would change the type of some values
+    held = s.sparkSession.createDataFrame(row, found.schema)
+    pick = fresh(work, *[f"_pivot{i}" for i in range(len(names) + 1)])
+    held = held.select(*[col(k).alias(p) for k, p in zip([*names, "pos"], pick)])
+    both = work.withColumnRenamed("pos", old).join(F.broadcast(held))
+    group = _behind(names, down, old, dict(zip([*names, "pos"], map(F.col, pick))))
+    return grouped_pos(both, group, old).select(*map(col, s.columns))
+
+
+def partial_sort(s: DataFrame, middle: int, descending: bool | Sequence[bool] = False, by: By | None = None) -> DataFrame:
+    """The ``middle`` smallest sorted in front; the others behind them in their old order.
+
+    Only the buckets that hold the front are sorted; the others keep their order and are moved once.
+    """
+    if middle <= 0:
+        return s.select("*")
+    dealt, names, down, old, level, at, before = _selected(s, middle - 1, by, descending)
+    if at is None:
+        return sort(s, descending, by=by)
+    ranked = dense_pos(dealt.filter(F.col(level) <= at).drop(level), *names, descending=down, tie=old)
+    front = ranked.filter(F.col("pos") < middle).select(*map(col, s.columns))
+    rest = ranked.filter(F.col("pos") >= middle).drop("pos").select(old, *[col(c) for c in s.columns if c != "pos"])
+    rest = rest.unionByName(dealt.filter(F.col(level) > at).select(old, *[col(c) for c in s.columns if c != "pos"]))
+    behind = grouped_pos(rest, F.lit(0), old).withColumn("pos", F.col("pos") + middle)
+    return front.unionByName(behind.select(*map(col, s.columns)))
+
+
+def merge(a: DataFrame, b: DataFrame, limit: int | None = None, descending: bool | Sequence[bool] = False, by: By | None = None, proj: Callable | None = None, proj_b: Callable | None = None) -> DataFrame:
+    """Stable merge of two sorted sequences, ties from ``a`` first; at most ``limit`` elements.
+
+    ``proj`` and ``proj_b`` project the elements of each for the comparison (``proj_b`` as ``proj`` if not given).
+    """
+    x, names, down = keyed(a, by, descending, proj)
+    y, other, _ = keyed(b, by, descending, proj_b or proj)
+    n, old = length(a), fresh(x, "_old")[0]
+    left = x.select(F.col("pos").alias(old), "v", *[col(k) for k in names if k != "v"])
+    right = y.select((F.col("pos") + n).alias(old), "v", *[col(o).alias(k) for o, k in zip(other, names) if k != "v"])
+    both = sized(left.unionByName(right), n + length(b))
+    if limit is not None:
+        return partial_sort_copy(both.withColumnRenamed(old, "pos"), limit, [k in down for k in names], (lambda _: [col(k) for k in names])).select("pos", "v")
+    return dense_pos(both, *names, descending=down, tie=old).select("pos", "v")
+
+
+def inplace_merge(s: DataFrame, descending: bool | Sequence[bool] = False, by: By | None = None) -> DataFrame:
+    """Merge two consecutive sorted halves of one sequence."""
+    return _sorted(s, "v", by, descending)
 
 
-def inplace_merge(s: DataFrame) -> DataFrame:
-    """Merge two consecutive sorted halves of one sequence."""
-    return _sorted(s, "v", False)
+def _extreme(s: DataFrame, by: By, descending, proj, last: bool) -> DataFrame:
+    """The first element of the order, or the last one of the opposite order: a distributed top-1."""
+    work, names, down = keyed(s, by, descending, proj)
+    down = [k for k in names if k not in down] if last else down
+    return work.orderBy(*ordering(names, down, "pos")).limit(1).select("pos", "v")
 
 
-def min_element(s: DataFrame, proj=lambda c: c) -> DataFrame:
+def min_element(s: DataFrame, proj=lambda c: c, by: By | None = None, descending: bool | Sequence[bool] = False) -> DataFrame:
     """Position of the first smallest element, and its value; the length where there is none."""
+    if by is not None or descending is not False:
+        return _placed(s, _extreme(s, by or (lambda c: c), descending, proj, False))
     x = F.min(F.struct(proj(F.col("v")).alias("k"), "pos", "v"))
     return s.agg(x.alias("x"), F.count(F.lit(1)).alias("n")).select(F.coalesce("x.pos", "n").alias("result"), F.col("x.v").alias("value"))
 
 
-def max_element(s: DataFrame, proj=lambda c: c) -> DataFrame:
+def max_element(s: DataFrame, proj=lambda c: c, by: By | None = None, descending: bool | Sequence[bool] = False) -> DataFrame:
     """Position of the first largest element."""
+    if by is not None or descending is not False:
+        return _placed(s, _extreme(s, by or (lambda c: c), descending, proj, True))
     x = F.max(F.struct(proj(F.col("v")).alias("k"), (-F.col("pos")).alias("p"), "v"))
     return s.agg(x.alias("x"), F.count(F.lit(1)).alias("n")).select(F.coalesce(-F.col("x.p"), F.col("n")).alias("result"), F.col("x.v").alias("value"))
 
 
-def minmax_element(s: DataFrame) -> DataFrame:
+def _placed(s: DataFrame, found: DataFrame) -> DataFrame:
+    one = found.agg(F.max("pos").alias("p"), F.max("v").alias("value"))
+    return one.join(F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))).select(F.coalesce("p", "n").alias("result"), "value")
+
+
+def minmax_element(s: DataFrame, proj=lambda c: c) -> DataFrame:
     """Positions of the first smallest and of the last largest element."""
-    low, high = F.min(F.struct("v", "pos")), F.max(F.struct("v", "pos"))
-    out = s.agg(low.alias("l"), high.alias("h"), F.count(F.lit(1)).alias("n"))
+    x = F.struct(proj(F.col("v")).alias("k"), "pos")
+    out = s.agg(F.min(x).alias("l"), F.max(x).alias("h"), F.count(F.lit(1)).alias("n"))
     return out.select(F.coalesce("l.pos", "n").alias("min_pos"), F.coalesce("h.pos", "n").alias("max_pos"))
 
 
 def _multiset(a: DataFrame, b: DataFrame, copies) -> DataFrame:
-    """Values with ``copies(count in a, count in b)``, sorted.  Counting first makes frequent values cheap."""
+    """Values with ``copies(count in a, count in b)``, sorted.
+
+    Only counts of values are moved and ordered; a value's copies follow from the count of those before it,
+    and are made in chunks, so a value of most rows is expanded by many tasks.
+    """
     x = a.groupBy("v").agg(F.count(F.lit(1)).alias("_a"))
     y = b.groupBy(F.col("v").alias("_w")).agg(F.count(F.lit(1)).alias("_b"))
     both = x.join(y, F.col("v").eqNullSafe(F.col("_w")), "full")
     value = F.when(F.col("_a").isNotNull(), F.col("v")).otherwise(F.col("_w")).alias("v")
     n = both.select(value, copies(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0))).alias("_n")).filter("_n > 0")
-    parts = n.select("v", "_n", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK))).alias("_k"))
-    here = F.least(F.lit(CHUNK), F.col("_n") - F.col("_k") * CHUNK)
-    rows = parts.select("v", F.col("_k"), F.explode(F.sequence(F.lit(0).cast("long"), here - 1)).alias("_j"))
-    rows = rows.select("v", (F.col("_k") * CHUNK + F.col("_j")).alias("_i"))
-    return dense_pos(rows, "v", tie="_i").select("pos", "v")
-
-
-def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _multiset(a, b, F.greatest)
-
-
-def set_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _multiset(a, b, F.least)
-
-
-def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _multiset(a, b, lambda m, n: m - n)
-
-
-def set_symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _multiset(a, b, lambda m, n: F.abs(m - n))
+    placed = running_by(n, ["v"], "_n", "_upto")
+    chunks = placed.select("v", (F.col("_upto") - F.col("_n")).alias("_from"), "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CHUNK))).alias("_k"))
+    spread = chunks.repartition("_from", "_k")
+    first = F.col("_from") + F.col("_k") * CHUNK
+    return spread.select(F.explode(F.sequence(first, first + F.least(F.lit(CHUNK), F.col("_n") - F.col("_k") * CHUNK) - 1)).alias("pos"), "v")
+
+
+def running_by(df: DataFrame, keys: Sequence[str], value: str, name: str, descending: Sequence[str] = ()) -> DataFrame:
+    """Add the running sum of ``value`` in the order of the ``keys``, which are distinct."""
+    level, near, far = fresh(df, "_level", "_near", "_far")
+    work, total = leveled(df, level, keys, descending)
+    frame = Window.partitionBy(level).orderBy(*ordering(keys, descending)).rowsBetween(Window.unboundedPreceding, 0)
+    local = work.withColumn(near, F.sum(value).over(frame))
+    if total <= BUCKET:
+        return local.withColumn(name, F.col(near)).drop(level, near)
+    known = gathered(work, [level], F.sum(value).alias("t"))
+    out = attach(local, level, carried(known, level, F.sum("t"), far), {far: "long"})
+    return out.withColumn(name, F.col(near) + F.coalesce(far, F.lit(0))).drop(level, near, far)
+
+
+def _classes(a: DataFrame, b: DataFrame, by: By, descending, proj) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """Elements of both sorted sequences with their rank among the equivalent ones (``_rank``) and the number of
+    equivalent ones here (``_own``) and in the other sequence (``_others``)."""
+    by = by or (lambda c: c)
+    x, names, down = keyed(a, by, descending, proj)
+    y, other, _ = keyed(b, by, descending, proj)
+    y = y.select("pos", "v", *[col(o).alias(k) for o, k in zip(other, names)])
+    x = x.select("pos", "v", *map(col, names))
+    same = lambda p, q: F.struct(*[p[k].alias(k) for k in names]).eqNullSafe(F.struct(*[q[k].alias(k) for k in names]))
+    count = lambda d: d.groupBy(*names).agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_own"))
+    cx, cy = count(x), count(y)
+
+    def ranked(s: DataFrame, own: DataFrame, others: DataFrame) -> DataFrame:
+        both = own.join(others.withColumnRenamed("_own", "_others").drop("_first"), same(own, others), "left")
+        both = both.select(*[own[k].alias(f"{k}_") for k in names], "_first", "_own", F.coalesce("_others", F.lit(0)).alias("_others"))
+        match = F.struct(*[s[k].alias(k) for k in names]).eqNullSafe(F.struct(*[both[f"{k}_"].alias(k) for k in names]))
+        return s.join(both, match).withColumn("_rank", F.col("pos") - F.col("_first")).drop("_first", *[f"{k}_" for k in names])
+
+    return ranked(x, cx, cy), ranked(y, cy, cx), names, down
+
+
+def _by_key(a: DataFrame, b: DataFrame, by, descending, proj, keep_a: Column, keep_b: Column) -> DataFrame:
+    """The kept elements of both, those of ``a`` before equivalent ones of ``b``."""
+    x, y, names, down = _classes(a, b, by, descending, proj)
+    kept = x.filter(keep_a).withColumn("_from", F.lit(0)).unionByName(y.filter(keep_b).withColumn("_from", F.lit(1)))
+    return dense_pos(kept.select("v", *map(col, names), F.col("_from"), F.col("pos").alias("_old")), *names, "_from", "_old", descending=down).select("pos", "v")
+
+
+def set_union(a: DataFrame, b: DataFrame, by: By | None = None, descending: bool | Sequence[bool] = False, proj=None) -> DataFrame:
+    """Each element as often as where it is more frequent.  With an order of its own, equivalent elements come
+    from ``a`` first, as in all four set operations; both must then be sorted sequences."""
+    if by is None and descending is False and proj is None:
+        return _multiset(a, b, F.greatest)
+    return _by_key(a, b, by, descending, proj, F.lit(True), F.col("_rank") >= F.col("_others"))
+
+
+def set_intersection(a: DataFrame, b: DataFrame, by: By | None = None, descending: bool | Sequence[bool] = False, proj=None) -> DataFrame:
+    if by is None and descending is False and proj is None:
+        return _multiset(a, b, F.least)
+    return _by_key(a, b, by, descending, proj, F.col("_rank") < F.col("_others"), F.lit(False))
+
+
+def set_difference(a: DataFrame, b: DataFrame, by: By | None = None, descending: bool | Sequence[bool] = False, proj=None) -> DataFrame:
+    if by is None and descending is False and proj is None:
+        return _multiset(a, b, lambda m, n: m - n)
+    return _by_key(a, b, by, descending, proj, F.col("_rank") >= F.col("_others"), F.lit(False))
+
+
+def set_symmetric_difference(a: DataFrame, b: DataFrame, by: By | None = None, descending: bool | Sequence[bool] = False, proj=None) -> DataFrame:
+    if by is None and descending is False and proj is None:
+        return _multiset(a, b, lambda m, n: F.abs(m - n))
+    return _by_key(a, b, by, descending, proj, F.col("_rank") >= F.col("_others"), F.col("_rank") >= F.col("_others"))

@@ -1,11 +1,12 @@
-"""Execution policies: how the tasks of a sequence's next stage are laid out.
+"""Execution policies: how the tasks of an operator are laid out.
 
-Spark plans parallel and vectorised execution itself, so the parallel policies leave a frame as it is;
-``seq`` brings it to one task, for debugging.
+A policy calls an operator: ``par(sort, s)`` is ``sort(s)``, which Spark plans in parallel and vectorised.
+``seq`` and ``unseq`` give the operator's sequences and its result one task each, for debugging.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,8 +17,11 @@ class ExecutionPolicy:
     name: str
     parallel: bool = True
 
-    def __call__(self, s: DataFrame) -> DataFrame:
-        return s if self.parallel else s.coalesce(1)
+    def laid(self, x):
+        return x.coalesce(1) if isinstance(x, DataFrame) and not self.parallel else x
+
+    def __call__(self, operator: Callable, *args, **more):
+        return self.laid(operator(*map(self.laid, args), **{k: self.laid(x) for k, x in more.items()}))
 
 
 seq = ExecutionPolicy("seq", parallel=False)

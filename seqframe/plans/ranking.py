@@ -1,88 +1,203 @@
-"""Dense positions without a window over one partition.
+"""Dense positions and running totals in an order, without a window over one partition.
 
-Rows are dealt into ordered buckets, buckets are counted, and a row's position is the count of the
-buckets before its own plus its place within it.
+Rows are dealt into ordered buckets whose number follows from the number of rows.  What is known of a
+whole bucket (its count, its total) is aggregated in a job of its own and comes back as a small frame of
+at most `MOST` rows, so that the plan which is returned reads its input once and moves it once.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Positions in one bucket of a sequence.
+#: Rows that a bucket is meant to hold.
 BUCKET = 1 << 16
+#: Buckets of one sequence at most: the bound on what the driver and a broadcast hold.
+MOST = 1 << 17
+#: Bounds that are compared in compiled code; more are searched in an array.
+TREE = 255
+#: Sampled keys from which bounds are chosen, at most.
+SAMPLE = 1 << 20
 
 
-def _offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, _start``: rows before each bucket.  One row a bucket, so the window is small."""
-    before = F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select(*keys, F.coalesce(before, F.lit(0)).alias("_start"))
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not use, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def place(df: DataFrame, buckets: dict[str, Column], order: Sequence[Column], pos: str = "pos") -> DataFrame:
-    """Add ``pos``: dense from 0 in the order of the bucket columns, then ``order``."""
-    dealt = df.withColumns(buckets)
-    keys = list(buckets)
-    starts = _offsets(dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
-    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return dealt.withColumn("_own", own).join(starts, keys).withColumn(pos, F.col("_start") + F.col("_own") - 1).drop("_own", "_start", *keys)
+def col(name: str) -> Column:
+    """A column by its exact name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def compact(df: DataFrame, pos: str = "pos", bucket: int = BUCKET) -> DataFrame:
-    """Close the gaps that a filter left in ``pos``, keeping the order."""
-    out = place(df.withColumnRenamed(pos, "_old"), {"_b": F.floor(F.col("_old") / bucket)}, [F.col("_old")], pos)
-    return out.drop("_old").select(*df.columns)
+def div(a: Column, b: Column | int) -> Column:
+    """Whole-number division, exact for 64-bit numbers."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
+def attach(df: DataFrame, on: str, known: DataFrame | None, names: dict[str, str]) -> DataFrame:
+    """Add what is known of each bucket ``on``.  ``known`` has at most `MOST` rows; None stands for no row.
+
+    ``names`` maps the added columns to their types.
+    """
+    if known is None:
+        return df.withColumns({n: F.lit(None).cast(t) for n, t in names.items()})
+    key = fresh(df, "_on")[0]
+    small = known.select(F.col(on).alias(key), *names)
+    return df.join(F.broadcast(small), df[on] == small[key], "left").drop(key)
+
+
+def carried(known: DataFrame, on: str, total: Column, name: str) -> DataFrame | None:
+    """``on, name``: ``total`` (an aggregate) over the buckets before each; None for one bucket.  At most `MOST` rows meet."""
+    if length(known) <= 1:
+        return None
+    return known.select(on, total.over(Window.orderBy(on).rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+
+
+def gathered(df: DataFrame, keys: Sequence[str], *totals: Column) -> DataFrame | None:
+    """Totals of each bucket as a local frame, or None if there are more than `MOST` of them."""
+    found = df.groupBy(*keys).agg(*totals).limit(MOST + 1)
+    rows = found.collect()
+    return None if len(rows) > MOST else sized(df.sparkSession.createDataFrame(rows, found.schema), len(rows))
+
+
+def length(df: DataFrame) -> int:
+    """Number of rows; counted once for a frame that a recipe made (`sized`)."""
+    known = getattr(df, "_rows", None)
+    return df.count() if known is None else known
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Remember how many rows this frame has.  Frames derived from it do not inherit that."""
+    df._rows = rows
+    return df
 
 
-def code(df: DataFrame, name: str) -> Column:
-    """A number that never falls as the column rises, for choosing bucket bounds."""
-    kind, c = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.StringType):
-        # the first six bytes; equal prefixes are ordered within their bucket
-        raw = F.encode(c, "utf-8")
-        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
+def _monotone(df: DataFrame, name: str) -> Column:
+    """The column in a type whose values pass through the driver unchanged and in the same order."""
+    kind, c = df.schema[name].dataType, col(name)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.to_utc_timestamp(c, "UTC"))
+    return F.unix_date(c) if isinstance(kind, T.DateType) else c
 
 
-def below(bounds: list[float], c: Column) -> Column:
-    """How many of the sorted ``bounds`` are below ``c``, by nested comparisons."""
+def leveled(df: DataFrame, level: str, keys: Sequence[str], descending: Sequence[str] = (), tie: str | None = None, rows: int = BUCKET) -> tuple[DataFrame, int]:
+    """Add the number of each row's bucket in the order of ``keys``, then ``tie``; and how many rows there are.
 
-    def tree(a: int, b: int) -> Column:
+    Bounds are whole keys, of any type and with the tie, taken at even ranks of a sample: neither a value
+    that many rows hold nor a prefix that many strings share brings them together.  Where directions are
+    mixed, only the leading keys of one direction choose the bucket.
+    """
+    down = keys[0] in descending
+    lead = []
+    for k in keys:
+        if (k in descending) != down:
+            break
+        lead.append(_monotone(df, k))
+    if tie and len(lead) == len(keys):
+        lead.append(-col(tie) if down else col(tie))
+    total = length(df)
+    buckets = min(MOST, -(-total // rows))
+    if buckets <= 1:
+        return df.withColumn(level, F.lit(0)), total
+    key = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(lead)])
+    share = min(1.0, min(64 * buckets, SAMPLE) / total)
+    sampled = df.select(key.alias("k")) if share == 1.0 else df.select(key.alias("k")).sample(share, 17)
+    ranks = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / buckets).cast("int")))
+    found = sampled.agg(F.sort_array(F.collect_list("k")).alias("s")).select(F.array_distinct(F.filter(ranks, lambda x: x.isNotNull())).alias("b"))
+    bounds = found.head()[0]
+    fields = found.schema["b"].dataType.elementType.fields
+    # as many keys as tell the bounds apart: one, unless a value is frequent
+    n = next((n for n in range(1, len(lead) + 1) if len({tuple(x[:n]) for x in bounds}) == len(bounds)), len(lead))
+    below = _tree(bounds, lead[:n], fields) if len(bounds) <= TREE else _halving(bounds, lead[:n], fields)
+    return df.withColumn(level, F.lit(len(bounds)) - below if down else below), total
+
+
+def _tree(bounds: list, lead: list[Column], fields: list[T.StructField]) -> Column:
+    """How many bounds are below a row's key, by nested comparisons (compiled)."""
+    literal = lambda x, f: F.lit(x).cast(f.dataType)
+
+    def at_most(bound) -> Column:
+        if len(lead) > 1:
+            return F.struct(*[c.alias(f.name) for c, f in zip(lead, fields)]) <= F.struct(*[literal(x, f).alias(f.name) for x, f in zip(bound, fields)])
+        return lead[0].isNull() if bound[0] is None else F.coalesce(lead[0] <= literal(bound[0], fields[0]), F.lit(True))
+
+    def node(a: int, b: int) -> Column:
         if a == b:
             return F.lit(a)
         mid = (a + b) // 2
-        return F.when(c <= F.lit(bounds[mid]), tree(a, mid)).otherwise(tree(mid + 1, b))
+        return F.when(at_most(bounds[mid]), node(a, mid)).otherwise(node(mid + 1, b))
+
+    return node(0, len(bounds))
+
+
+def _halving(bounds: list, lead: list[Column], fields: list[T.StructField]) -> Column:
+    """The same for many bounds, as a search in one literal array."""
+    kind = T.ArrayType(T.StructType(fields[: len(lead)]))
+    rows = F.from_json(F.lit(_json([tuple(b[: len(lead)]) for b in bounds], fields)), kind) if _jsonable(fields[: len(lead)]) else F.array(*[F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(b, fields[: len(lead)])]) for b in bounds])
+    key = F.struct(*[c.alias(f.name) for c, f in zip(lead, fields)])
+    strides = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(strides, F.lit(0), lambda at, s: F.when(F.get(rows, at + s - 1) < key, at + s).otherwise(at))
+
+
+def _jsonable(fields: list[T.StructField]) -> bool:
+    return all(isinstance(f.dataType, T.IntegralType | T.StringType) for f in fields)
+
 
-    return tree(0, len(bounds))
+def _json(bounds: list[tuple], fields: list[T.StructField]) -> str:
+    return json.dumps([{f.name: x for x, f in zip(b, fields)} for b in bounds])
 
 
-def dense_pos(df: DataFrame, *keys: str, descending: Sequence[str] = (), tie: str | None = None, pos: str = "pos", bounds: int = 63) -> DataFrame:
+def ordering(keys: Sequence[str], descending: Sequence[str] = (), tie: str | None = None) -> list[Column]:
+    order = [col(k).desc_nulls_last() if k in descending else col(k).asc_nulls_first() for k in keys]
+    return [*order, col(tie).asc()] if tie else order
+
+
+def dense_pos(df: DataFrame, *keys: str, descending: Sequence[str] = (), tie: str | None = None, pos: str = "pos", rows: int = BUCKET) -> DataFrame:
     """Add ``pos``: dense from 0 in the order of ``keys`` (nulls first, NaN last), then ``tie``.
 
-    Bucket bounds are approximate quantiles of the first key, one small job.  A value that is itself a
-    bound has a bucket of its own, which ``tie`` (an integer column, such as an older position) splits
-    further, so a value held by many rows does not meet in one task.
+    ``tie`` is an integer column, such as an older position.  ``rows`` is what a bucket is meant to hold.
     """
-    lead = keys[0]
-    work = df.withColumn("_code", code(df, lead))
-    found = work.filter(~F.isnan("_code")).agg(F.percentile_approx("_code", [(i + 1) / (bounds + 1) for i in range(bounds)]).alias("q")).head()
-    cut = sorted(set(found.q or []))
-    c = F.col("_code")
-    exact = c.isin(cut) if cut else F.lit(False)
-    level = F.when(c.isNull(), F.lit(-1)).otherwise(2 * below(cut, c) + F.when(exact, 1).otherwise(0))
-    down = lead in descending
-    buckets = {"_b1": -level if down else level}
-    order = [F.col(k).desc_nulls_last() if k in descending else F.col(k).asc_nulls_first() for k in keys]
-    if tie:
-        order.append(F.col(tie).asc())
-        if len(keys) == 1 and not isinstance(df.schema[lead].dataType, T.StringType | T.DecimalType | T.LongType | T.TimestampType):
-            # codes of these types are exact, so equal codes are equal values
-            buckets["_b2"] = F.when(exact, F.floor(F.col(tie) / BUCKET)).otherwise(0)
-    return place(work, buckets, order, pos).drop("_code")
+    level, own, start = fresh(df, "_level", "_own", "_start")
+    work, total = leveled(df, level, keys, descending, tie, rows)
+    place = F.row_number().over(Window.partitionBy(level).orderBy(*ordering(keys, descending, tie)))
+    if total <= rows:
+        return sized(work.withColumn(pos, place.cast("long") - 1).drop(level), total)
+    counts = gathered(work, [level], F.count(F.lit(1)).alias("n"))
+    out = attach(work.withColumn(own, place), level, carried(counts, level, F.sum("n"), start), {start: "long"})
+    return sized(out.withColumn(pos, F.coalesce(start, F.lit(0)).cast("long") + F.col(own) - 1).drop(level, own, start), total)
+
+
+def grouped_pos(df: DataFrame, group: Column, old: str, pos: str = "pos", bucket: int = BUCKET) -> DataFrame:
+    """Add ``pos``: dense from 0 in the order of ``group`` (few values), then of the old position ``old``."""
+    g, b, own, start, gb = fresh(df, "_g", "_b", "_own", "_start", "_gb")
+    while True:
+        work = df.withColumns({g: group, b: div(col(old), bucket)})
+        counts = gathered(work, [g, b], F.count(F.lit(1)).alias("n"))
+        if counts is not None:
+            break
+        bucket <<= 8
+    before = F.sum("n").over(Window.orderBy(g, b).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.struct(g, b).alias(gb), F.coalesce(before, F.lit(0)).alias(start))
+    place = F.row_number().over(Window.partitionBy(g, b).orderBy(old))
+    out = work.withColumn(own, place)
+    joined = out.join(F.broadcast(starts), F.struct(out[g].alias(g), out[b].alias(b)) == starts[gb], "left")
+    return joined.withColumn(pos, F.col(start) + F.col(own) - 1).drop(g, b, own, start, gb)
+
+
+def compact(df: DataFrame, pos: str = "pos", bucket: int = BUCKET) -> DataFrame:
+    """Close the gaps that a filter left in ``pos``, keeping the order."""
+    old = fresh(df, "_old")[0]
+    return grouped_pos(df.withColumnRenamed(pos, old), F.lit(0), old, pos, bucket).select(*map(col, df.columns))

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import functors as fn
-from .functions import math as fm
-from .functions import random as rnd
 from .operators import aggregate as ag
-from .operators import kernels, loops, memory, ranges
+from .operators import kernels, loops, memory
+from .plans import policy
 from .operators import rearrange as re
 from .operators import search as se
 from .operators import sorting as so
@@ -65,7 +64,8 @@ def parts(spark: SparkSession, d: str, test: str) -> DataFrame:
     return src.sequence(part_keys(spark, d, test), "v", columns={"v": F.col("v")})
 
 
-EARLY, LATE = "l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity <= 10", "l_shipdate >= TIMESTAMP '1995-01-01' AND l_quantity <= 10"
+# ship dates run from 1995-01-02 to 2001-11-04: the split is near their median
+EARLY, LATE = "l_shipdate < TIMESTAMP '1998-06-01'", "l_shipdate >= TIMESTAMP '1998-06-01'"
 
 O = "o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS v FROM orders)"  # noqa: E741
 L = (
@@ -158,7 +158,7 @@ on_orders("is_partitioned", lambda s: se.is_partitioned(s.withColumn("v", F.col(
 HEAP = "(SELECT c.pos, c.v, p.v AS p FROM o c LEFT JOIN o p ON c.pos > 0 AND p.pos = (c.pos - 1) // 2)"
 on_orders("is_heap_until", se.is_heap_until, FIRST.format("p < v", HEAP))
 on_orders("is_heap", lambda s: se.is_heap(s.withColumn("v", -F.col("pos"))), "SELECT true AS result")
-add("includes", lambda s, d: se.includes(part_keys(s, d, "l_quantity <= 10"), part_keys(s, d, EARLY)), "SELECT true AS result")
+add("includes", lambda s, d: se.includes(part_keys(s, d, "true"), part_keys(s, d, EARLY)), f"WITH {P} SELECT NOT EXISTS (SELECT v FROM a EXCEPT ALL SELECT l_partkey FROM lineitem) AS result")
 add("includes_not", lambda s, d: se.includes(part_keys(s, d, EARLY), part_keys(s, d, LATE)), f"WITH {P} SELECT NOT EXISTS (SELECT v FROM b EXCEPT ALL SELECT v FROM a) AS result")
 
 # ---------------------------------------------------------------- copies, maps, re-orderings
@@ -281,37 +281,6 @@ on_quantities(
 )
 
 
-def _asked(s: SparkSession, d: str) -> DataFrame:
-    return s.range(200).select(F.col("id").alias("pos"), (F.col("id") * 3 % 211).alias("v"))
-
-
-Q = f"{P}, q AS (SELECT range AS pos, range * 3 % 211 AS v FROM range(200))"
-for _name, _op, _sql in (
-    ("lower_bound", ag.lower_bound, "(SELECT count(*) FROM a WHERE a.v < q.v)"),
-    ("upper_bound", ag.upper_bound, "(SELECT count(*) FROM a WHERE a.v <= q.v)"),
-    ("binary_search", ag.binary_search, "EXISTS (SELECT 1 FROM a WHERE a.v = q.v)"),
-):
-    add(_name, lambda s, d, f=_op: f(part_keys(s, d, EARLY), _asked(s, d)), f"WITH {Q} SELECT pos, v, {_sql} AS result FROM q")
-
-# ---------------------------------------------------------------- part keys of every order line, whatever its quantity
-
-# ship dates run from 1995-01-02 to 2001-11-04: the split is near their median, while EARLY above holds no line at all
-HALF_EARLY, HALF_LATE = "l_shipdate < TIMESTAMP '1998-06-01'", "l_shipdate >= TIMESTAMP '1998-06-01'"
-WHOLE = f"a AS (SELECT l_partkey AS v FROM lineitem WHERE {HALF_EARLY}), b AS (SELECT l_partkey AS v FROM lineitem WHERE {HALF_LATE})"
-MERGED = "SELECT row_number() OVER (ORDER BY v) - 1 AS pos, v FROM (SELECT v FROM a UNION ALL SELECT v FROM b)"
-add("includes_whole", lambda s, d: se.includes(part_keys(s, d, "true"), part_keys(s, d, HALF_EARLY)), f"WITH {WHOLE} SELECT NOT EXISTS (SELECT v FROM a EXCEPT ALL SELECT l_partkey FROM lineitem) AS result")
-add("includes_not_whole", lambda s, d: se.includes(part_keys(s, d, HALF_EARLY), part_keys(s, d, HALF_LATE)), f"WITH {WHOLE} SELECT NOT EXISTS (SELECT v FROM b EXCEPT ALL SELECT v FROM a) AS result")
-add("merge_whole", lambda s, d: so.merge(parts(s, d, HALF_EARLY), parts(s, d, HALF_LATE)), f"WITH {WHOLE} {MERGED}")
-add("merge_limited_whole", lambda s, d: so.merge(parts(s, d, HALF_EARLY), parts(s, d, HALF_LATE), 100), f"WITH {WHOLE} {MERGED} QUALIFY pos < 100")
-for _name, _op, _sql in (
-    ("set_union", so.set_union, "SELECT v FROM a UNION ALL (SELECT v FROM b EXCEPT ALL SELECT v FROM a)"),
-    ("set_intersection", so.set_intersection, "SELECT v FROM a INTERSECT ALL SELECT v FROM b"),
-    ("set_difference", so.set_difference, "SELECT v FROM a EXCEPT ALL SELECT v FROM b"),
-    ("set_symmetric_difference", so.set_symmetric_difference, "(SELECT v FROM a EXCEPT ALL SELECT v FROM b) UNION ALL (SELECT v FROM b EXCEPT ALL SELECT v FROM a)"),
-):
-    add(f"{_name}_whole", lambda s, d, f=_op: f(part_keys(s, d, HALF_EARLY), part_keys(s, d, HALF_LATE)), f"WITH {WHOLE} " + RANKED.format(_sql))
-
-
 def _every_part(s: SparkSession, d: str) -> DataFrame:
     """Needles that grow with the tables: the key of every part."""
     return src.read_parquet(s, f"{d}/part.parquet", "p_partkey", columns={"v": F.col("p_partkey")})
@@ -319,7 +288,7 @@ def _every_part(s: SparkSession, d: str) -> DataFrame:
 
 # counts up to each value by one running sum; a correlated count is too slow for so many needles
 UP_TO = (
-    f"{WHOLE}, q AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey AS v FROM part),"
+    f"{P}, q AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_partkey AS v FROM part),"
     " r AS (SELECT v, sum(n) AS same, sum(sum(n)) OVER (ORDER BY v) AS upto FROM (SELECT v, 1 AS n FROM a UNION ALL SELECT DISTINCT v, 0 FROM q) GROUP BY v)"
 )
 for _name, _op, _sql in (
@@ -327,7 +296,7 @@ for _name, _op, _sql in (
     ("upper_bound", ag.upper_bound, "CAST(upto AS BIGINT)"),
     ("binary_search", ag.binary_search, "same > 0"),
 ):
-    add(f"{_name}_whole", lambda s, d, f=_op: f(part_keys(s, d, HALF_EARLY), _every_part(s, d)), f"WITH {UP_TO} SELECT pos, v, {_sql} AS result FROM q JOIN r USING (v)")
+    add(_name, lambda s, d, f=_op: f(part_keys(s, d, EARLY), _every_part(s, d)), f"WITH {UP_TO} SELECT pos, v, {_sql} AS result FROM q JOIN r USING (v)")
 
 # ---------------------------------------------------------------- sources and views
 
@@ -374,57 +343,6 @@ add(
 )
 add("for_loop_n_strided", lambda s, d: loops.for_loop_n_strided(s, 3, 11, 4, reductions={"r": loops.reduction_multiplies(1, lambda i: i % 3 + 1), "o": loops.reduction_bit_or(0, lambda i: i), "a": loops.reduction_bit_and(255, lambda i: i)}), "SELECT CAST(product((range * 4 + 3) % 3 + 1) AS BIGINT) AS r, bit_or(range * 4 + 3) AS o, bit_and(255 & (range * 4 + 3)) AS a FROM range(11)")
 
-# ---------------------------------------------------------------- ranges with projections
-
-on_quantities("ranges_count_if", lambda s: ranges.count_if(s, lambda v: v == 0, proj=lambda v: v % 5), "SELECT count(*) FILTER (WHERE v % 5 = 0) AS result FROM l")
-on_lines("ranges_find", lambda s: ranges.find(s, 4, proj=lambda v: v % 5), FIRST.format("v % 5 = 4", "l"))
-on_lines("ranges_find_if", lambda s: ranges.find_if(s, lambda v: v == 3, proj=lambda v: v % 5), FIRST.format("v % 5 = 3", "l"))
-on_quantities("ranges_any_of", lambda s: ranges.any_of(s, lambda v: v > 7, proj=lambda v: v % 5), "SELECT false AS result")
-on_lines("ranges_copy_if", lambda s: ranges.copy_if_limited(s, lambda v: v == 0, 20, proj=lambda v: v % 5), f"SELECT * FROM ({KEEP.format('l', 'v % 5 = 0')}) WHERE pos < 20")
-on_lines("ranges_sort", lambda s: ranges.sort(s, proj=lambda v: v % 5), "SELECT row_number() OVER (ORDER BY v % 5, pos) - 1 AS pos, v FROM l")
-on_lines("ranges_stable_sort", lambda s: ranges.stable_sort(s, proj=lambda v: -v), "SELECT row_number() OVER (ORDER BY -v, pos) - 1 AS pos, v FROM l")
-on_lines("ranges_transform", lambda s: ranges.transform(s, lambda v: v + 1, proj=lambda v: v * 2), "SELECT pos, v * 2 + 1 AS v FROM l")
-on_lines("ranges_is_sorted", lambda s: ranges.is_sorted(s, proj=lambda v: v * 0), "SELECT true AS result")
-on_lines("ranges_min_element", lambda s: ranges.min_element(s, proj=lambda v: v % 5), "SELECT arg_min(pos, (v % 5, pos)) AS result, arg_min(v, (v % 5, pos)) AS value FROM l")
-on_lines("ranges_max_element", lambda s: ranges.max_element(s, proj=lambda v: v % 5), "SELECT arg_max(pos, (v % 5, -pos)) AS result, arg_max(v, (v % 5, -pos)) AS value FROM l")
-on_lines("ranges_search", lambda s: ranges.search_range(s, [1, 1], proj=lambda v: v % 5), f"SELECT coalesce(min(pos) FILTER (WHERE v % 5 = 1 AND v1 % 5 = 1), count(*)) AS result FROM ({NEXT})")
-
-# ---------------------------------------------------------------- functions
-
-on_orders(
-    "math_functions",
-    lambda s: s.select(
-        "pos",
-        *[
-            F.round(c, 6).alias(n)
-            for n, c in {
-                "exp2": fm.exp2(F.col("v") % 9 / 4.0), "fdim": fm.fdim(F.col("v") % 9 + 0.0, F.lit(4.0)), "fmod": fm.fmod(F.col("v") + 0.0, F.lit(7.5)), "trunc": fm.trunc((F.col("v") % 99 - 50) / 4.0) + 0.0,
-                "cbrt": fm.cbrt(F.col("v")), "hypot": fm.hypot(F.col("v") % 9 + 0.0, F.lit(4.0)), "log1p": fm.log1p(F.col("v") + 0.0), "atan2": fm.atan2(F.col("v") % 9 + 1.0, F.lit(2.0)), "sinh": fm.sinh(F.col("v") % 5 / 2.0),
-            }.items()
-        ],
-    ),
-    "SELECT pos, round(pow(2, v % 9 / 4.0), 6) AS exp2, round(greatest(v % 9 - 4.0, 0.0)::DOUBLE, 6) AS fdim, round((v % 15 + 0.0 - CASE WHEN v % 15 >= 7.5 THEN 7.5 ELSE 0 END)::DOUBLE, 6) AS fmod,"
-    " round(trunc(((v % 99 - 50) / 4.0)::DOUBLE), 6) AS trunc, round(cbrt(v), 6) AS cbrt, round(sqrt((v % 9) * (v % 9) + 16.0), 6) AS hypot, round(ln(1.0::DOUBLE + v), 6) AS log1p,"
-    " round(atan2(v % 9 + 1.0, 2.0), 6) AS atan2, round((exp(v % 5 / 2.0) - exp(-(v % 5) / 2.0)) / 2, 6) AS sinh FROM o",
-)
-on_orders("special_functions", lambda s: s.select("pos", F.round(fm.tgamma(F.col("v") % 9 + 1.0), 6).alias("tgamma"), F.round(fm.lgamma(F.col("v") % 9 + 1.0), 6).alias("lgamma"), fm.ilogb(F.col("v") + 0.0).alias("ilogb")), "SELECT pos, round(gamma(v % 9 + 1.0), 6) AS tgamma, round(lgamma(v % 9 + 1.0), 6) AS lgamma, CAST(floor(log2(v)) AS BIGINT) AS ilogb FROM o")
-on_orders("gcd_lcm", lambda s: s.select("pos", fm.gcd(F.col("v"), F.col("pos")).alias("gcd"), fm.lcm(F.col("v") % 1000, F.col("pos")).alias("lcm")), "SELECT pos, gcd(v, pos) AS gcd, lcm(v % 1000, pos) AS lcm FROM o")
-on_orders("complex_functions", lambda s: s.select("pos", F.round(fn.norm(fn.cmul(fn.complex_(F.col("pos") % 7, F.lit(2.0)), fn.complex_(F.lit(1.0), F.col("pos") % 5))), 6).alias("n"), F.round(fn.real(fn.csqrt(fn.complex_(F.col("pos"), F.lit(0.0)))), 6).alias("r")), "SELECT pos, round(((pos % 7) * (pos % 7) + 4.0) * (1.0 + (pos % 5) * (pos % 5)), 6)::DOUBLE AS n, round(sqrt(pos), 6) AS r FROM o")
-on_orders("ratio_functions", lambda s: s.select("pos", fn.ratio_add(fn.ratio(F.col("pos"), F.lit(6)), fn.ratio(F.lit(1), F.lit(4))).alias("x")).select("pos", F.col("x.num").alias("num"), F.col("x.den").alias("den")), "SELECT pos, CAST((2 * pos + 3) // gcd(2 * pos + 3, 12) AS BIGINT) AS num, CAST(12 // gcd(2 * pos + 3, 12) AS BIGINT) AS den FROM o")
-
-# ---------------------------------------------------------------- random numbers: no SQL for the engines
-
-for _engine in ("minstd_rand0", "minstd_rand", "ranlux24_base", "ranlux48_base", "ranlux24", "ranlux48", "philox4x32", "philox4x64"):
-    add(f"engine_{_engine}", lambda s, d, e=_engine: rnd.numbers(s, 10_000, getattr(rnd, e)()))
-_U = {
-    "uniform_real": lambda u: rnd.uniform_real_distribution(u, -1.0, 3.0), "uniform_int": lambda u: rnd.uniform_int_distribution(u, 1, 6), "exponential": rnd.exponential_distribution, "bernoulli": lambda u: rnd.bernoulli_distribution(u, 0.3),
-    "geometric": lambda u: rnd.geometric_distribution(u, 0.2), "weibull": lambda u: rnd.weibull_distribution(u, 2.0, 1.5), "extreme_value": rnd.extreme_value_distribution, "cauchy": rnd.cauchy_distribution,
-}
-for _name, _op in _U.items():
-    add(f"distribution_{_name}", lambda s, d, f=_op: rnd.uniform(s.range(10_000).select(F.col("id").alias("pos")), rnd.philox4x32()).select("pos", f(F.col("u")).alias("v")))
-add("distribution_normal", lambda s, d: rnd.normal_distribution(s.range(10_000).select(F.col("id").alias("pos")), rnd.philox4x32()))
-add("distribution_lognormal", lambda s, d: rnd.lognormal_distribution(s.range(10_000).select(F.col("id").alias("pos")), rnd.philox4x32()))
-
 # ---------------------------------------------------------------- asynchronous forms, selection
 
 
@@ -462,3 +380,49 @@ for _name, _policy in (("fixed_resource", sel.FixedResource), ("round_robin", se
         lambda s, d, p=_policy: sel.submit_and_wait(p(["a", "b"]), lambda pool: sel.in_pool(s, pool, lambda: ag.reduce(prices(s, d), 10))),
         ORACLE["reduce"],
     )
+
+# ---------------------------------------------------------------- execution policies
+
+for _name in ("seq", "unseq", "par", "par_unseq", "device_policy"):
+    add(f"execution_{_name}", lambda s, d, p=getattr(policy, _name): p(re.copy_if, orders(s, d), lambda v: v % 3 == 0), f"WITH {O} " + KEEP.format("o", "v % 3 = 0"))
+
+# ---------------------------------------------------------------- orders and operations of the caller
+
+BY = "row_number() OVER (ORDER BY v % 7 DESC, v // 7, pos)"
+_BY = {"by": lambda v: [v % 7, F.floor(v / 7)], "descending": [True, False]}
+on_lines("sort_by", lambda s: so.sort(s, **_BY), f"SELECT {BY} - 1 AS pos, v FROM l")
+on_lines("sort_by_proj", lambda s: so.stable_sort(s, proj=lambda v: v % 7, descending=True), "SELECT row_number() OVER (ORDER BY v % 7 DESC, pos) - 1 AS pos, v FROM l")
+on_lines("partial_sort_by", lambda s: so.partial_sort(s, 500, **_BY), f"SELECT row_number() OVER (ORDER BY r >= 500, CASE WHEN r < 500 THEN r ELSE pos END) - 1 AS pos, v FROM (SELECT pos, v, {BY} - 1 AS r FROM l)")
+on_lines("partial_sort_copy_by", lambda s: so.partial_sort_copy(s, 500, [True, False], _BY["by"]), f"SELECT * FROM (SELECT {BY} - 1 AS pos, v FROM l) WHERE pos < 500")
+on_lines("nth_element_by", lambda s: so.nth_value(s, 5000, [True, False], _BY["by"]), f"SELECT v AS result FROM (SELECT v, {BY} - 1 AS r FROM l) WHERE r = 5000")
+on_lines("min_element_by", lambda s: so.min_element(s, **_BY), f"SELECT pos AS result, v AS value FROM l ORDER BY {BY} LIMIT 1")
+on_lines("max_element_by", lambda s: so.max_element(s, **_BY), "SELECT pos AS result, v AS value FROM l ORDER BY v % 7, v // 7 DESC, pos LIMIT 1")
+on_lines("inplace_merge_descending", lambda s: so.inplace_merge(s, descending=True), SORTED.format(" DESC", "l"))
+add("merge_descending", lambda s, d: so.merge(so.sort(parts(s, d, EARLY), True), so.sort(parts(s, d, LATE), True), descending=True), f"WITH {P} SELECT row_number() OVER (ORDER BY v DESC) - 1 AS pos, v FROM (SELECT v FROM a UNION ALL SELECT v FROM b)")
+# elements are equivalent when a tenth of them is equal; those of the first sequence come first
+CLASSES = (
+    f"{P}, x AS (SELECT row_number() OVER (ORDER BY v) AS i, v, v // 10 AS k, row_number() OVER (PARTITION BY v // 10 ORDER BY v) AS r, 0 AS f FROM a),"
+    " y AS (SELECT row_number() OVER (ORDER BY v) AS i, v, v // 10 AS k, row_number() OVER (PARTITION BY v // 10 ORDER BY v) AS r, 1 AS f FROM b),"
+    " m AS (SELECT k, count(*) AS n FROM x GROUP BY k), n AS (SELECT k, count(*) AS n FROM y GROUP BY k),"
+    " p AS (SELECT x.*, coalesce(n.n, 0) AS o FROM x LEFT JOIN n USING (k)), q AS (SELECT y.*, coalesce(m.n, 0) AS o FROM y LEFT JOIN m USING (k))"
+)
+for _name, _op, _sql in (
+    ("set_union", so.set_union, "SELECT * FROM p UNION ALL SELECT * FROM q WHERE r > o"),
+    ("set_intersection", so.set_intersection, "SELECT * FROM p WHERE r <= o"),
+    ("set_difference", so.set_difference, "SELECT * FROM p WHERE r > o"),
+    ("set_symmetric_difference", so.set_symmetric_difference, "SELECT * FROM p WHERE r > o UNION ALL SELECT * FROM q WHERE r > o"),
+):
+    add(f"{_name}_by", lambda s, d, f=_op: f(parts(s, d, EARLY), parts(s, d, LATE), by=lambda v: F.floor(v / 10)), f"WITH {CLASSES} SELECT row_number() OVER (ORDER BY k, f, i) - 1 AS pos, v FROM ({_sql})")
+add("includes_by", lambda s, d: se.includes(part_keys(s, d, EARLY), part_keys(s, d, LATE), by=lambda v: F.floor(v / 10)), f"WITH {CLASSES} SELECT NOT EXISTS (SELECT k FROM n LEFT JOIN m USING (k) WHERE n.n > coalesce(m.n, 0)) AS result")
+add(
+    "lower_bound_descending",
+    lambda s, d: ag.lower_bound(part_keys(s, d, EARLY), _every_part(s, d), descending=True),
+    f"WITH {UP_TO} SELECT pos, v, CAST((SELECT count(*) FROM a) - upto AS BIGINT) AS result FROM q JOIN r USING (v)",
+)
+add("reduce_by_segment_custom", lambda s, d: ag.reduce_by_segment(events(s, d), lambda a, b: max(a, b)), ORACLE["reduce_by_segment_max"])
+add("inclusive_scan_by_segment_custom", lambda s, d: ag.inclusive_scan_by_segment(events(s, d), lambda a, b: min(a, b)), f"WITH {ISLANDS} SELECT pos, k, {BY_RUN.format('min(v)', 'CURRENT ROW')} AS v FROM g")
+add("exclusive_scan_by_segment_max", lambda s, d: ag.exclusive_scan_by_segment(events(s, d), 4, "maximum"), f"WITH {ISLANDS} SELECT pos, k, greatest(4, coalesce({BY_RUN.format('max(v)', '1 PRECEDING')}, 4)) AS v FROM g")
+on_prices("reduce_multiplies", lambda s: ag.transform_reduce(s, 1, "multiplies", lambda v: F.when(v % 2 == 0, -1).otherwise(1)), "SELECT CAST(CASE WHEN count(*) FILTER (WHERE v % 2 = 0) % 2 = 0 THEN 1 ELSE -1 END AS BIGINT) AS result FROM o")
+on_lines("search_frame", lambda s: se.search(s, src.drop(src.take(s, 1003), 1000)), "SELECT min(l.pos) AS result FROM l, (SELECT max(v) FILTER (WHERE pos = 1000) AS x, max(v) FILTER (WHERE pos = 1001) AS y, max(v) FILTER (WHERE pos = 1002) AS z FROM l), (SELECT pos, lead(v) OVER (ORDER BY pos) AS v1, lead(v, 2) OVER (ORDER BY pos) AS v2 FROM l) n WHERE n.pos = l.pos AND v = x AND v1 = y AND v2 = z")
+
+from . import registry_ranges, registry_scalars  # noqa: E402, F401  (they add their queries to the same tables)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import dense_pos
+from ..plans.ranking import length, sized
 
 
 def read_parquet(spark: SparkSession, path: str, *keys: str, columns: dict[str, Column] | None = None) -> DataFrame:
@@ -20,11 +21,12 @@ def sequence(df: DataFrame, *keys: str, columns: dict[str, Column] | None = None
     picked = columns or {c: F.col(c) for c in df.columns}
     names = [f"_k{i}" for i in range(len(keys))]
     slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c.alias(n) for n, c in picked.items()])
-    return dense_pos(slim, *names).select("pos", *picked)
+    out = dense_pos(slim, *names)
+    return sized(out.select("pos", *picked), length(out))
 
 
 def counting(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("pos"), (F.col("id") + start).alias("v"))
+    return sized(spark.range(n).select(F.col("id").alias("pos"), (F.col("id") + start).alias("v")), n)
 
 
 iota = counting

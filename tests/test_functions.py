@@ -85,3 +85,19 @@ def test_serial_forms(spark):
     df = spark.createDataFrame([([1, 2, 3], [4, 5, 6]), ([], [])], "a array<long>, b array<long>")
     rows = df.select(fn.accumulate(F.col("a"), F.lit(10).cast("long")).alias("s"), fn.inner_product(F.col("a"), F.col("b"), F.lit(0).cast("long")).alias("d"), fn.partial_sum(F.col("a")).alias("p"), fn.iota(F.size("a"), F.lit(5)).alias("i")).collect()
     assert [tuple(r) for r in rows] == [(16, 32, [1, 3, 6], [5, 6, 7]), (10, 0, [], [])]
+
+
+def test_edges(spark):
+    odd = [0.49999999999999994, -0.5, 2.5, 1e19, -1e19, math.inf, -math.inf, math.nan, -0.0, 4503599627370497.5]
+    rows = spark.createDataFrame([(x,) for x in odd], "x double").select("x", fm.trunc(F.col("x")).alias("t"), fm.round(F.col("x")).alias("r"), fm.copysign(F.lit(1.0), F.col("x")).alias("s")).collect()
+    for r in rows:
+        if math.isfinite(r.x):
+            half = math.copysign(math.floor(abs(Fraction(r.x)) + Fraction(1, 2)), r.x)
+            assert r.t == math.trunc(r.x) and r.r == half
+        else:
+            assert str(r.t) == str(r.x) == str(r.r)
+        assert math.isnan(r.x) or r.s == math.copysign(1.0, r.x)
+    big = spark.createDataFrame([(2**53 + 1, 1, None)], "a long, b long, c long")
+    r = big.select(fm.lcm(F.col("a"), F.col("b")).alias("l"), fn.ratio(F.col("a"), F.col("b")).alias("q"), fm.gcd(F.col("a"), F.col("c")).alias("n")).head()
+    assert r.l == r.q.num == 2**53 + 1 and r.n is None
+    assert spark.range(1).select(fm.fma(F.lit(0.1), F.lit(10.0), F.lit(-1.0))).head()[0] == 5.551115123125783e-17

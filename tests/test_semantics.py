@@ -12,7 +12,7 @@ from seqframe.operators import aggregate as ag
 from seqframe.operators import rearrange as re
 from seqframe.operators import search as se
 from seqframe.operators import sorting as so
-from seqframe.plans import dense_pos, islands, neighbour, running, scan_with
+from seqframe.plans import dense_pos, islands, neighbour, ranking, running, scan_with, segment_scan
 from seqframe.sources import sequences as src
 from seqframe.streaming import async_ as asy
 from seqframe.streaming import selection as sel
@@ -130,16 +130,111 @@ def test_positions_with_frequent_values(spark):
     assert [r.i for r in dense_pos(odd, "x").orderBy("pos").collect()] == [1, 4, 2, 3]
 
 
-def test_plans_stay_distributed(spark, sf):
-    """No operator sorts or scans all rows in one partition."""
+def scans_and_exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_plans_read_and_move_once(spark):
+    """Each operator reads its table once; rows are moved once for the positions and once for the operator."""
     from seqframe import registry
 
-    orders = registry.orders(spark, sf)
-    for df in (so.sort(orders), ag.inclusive_scan(orders), re.unique(orders), ag.adjacent_difference(orders)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        for part in plan.split("Exchange SinglePartition")[1:]:
-            # what meets in one partition has been counted by bucket before
-            assert "_b" in part.split("FileScan")[0] and "HashAggregate" in part.split("FileScan")[0]
+    sf = "/root/testdata/sf0.1"
+    orders, events = registry.orders(spark, sf), registry.events(spark, sf)
+    assert scans_and_exchanges(orders) == (1, 1)
+    for df in (so.sort(orders), ag.inclusive_scan(orders), re.unique(orders), ag.adjacent_difference(orders), re.copy_if(orders, lambda v: v % 3 == 0), re.stable_partition(orders, lambda v: v > 9)):
+        assert scans_and_exchanges(df) == (1, 2)
+    assert scans_and_exchanges(ag.inclusive_scan_by_segment(events)) == (1, 2)
+    assert scans_and_exchanges(ag.reduce_by_segment(events)) == (1, 3)
+
+
+@pytest.mark.parametrize("kind", ["tie", "prefix", "nulls"])
+def test_buckets_stay_even(spark, kind):
+    """No bucket takes more than twice its share on frequent values, shared prefixes and nulls; halving agrees with comparing."""
+    n, rows = 4000, 100
+    value = {"tie": F.when(F.col("i") % 10 == 0, F.col("i")).otherwise(7), "prefix": F.concat(F.lit("https://example.org/"), F.lpad("i", 6, "0")), "nulls": F.when(F.col("i") % 3 == 0, F.col("i"))}[kind]
+    df = spark.range(n).withColumnRenamed("id", "i").withColumn("x", value)
+    dealt, total = ranking.leveled(df, "level", ["x"], tie="i", rows=rows)
+    assert total == n and dealt.groupBy("level").count().agg(F.max("count")).head()[0] <= 2 * rows
+    many = ranking.TREE
+    try:
+        ranking.TREE = 0
+        again, _ = ranking.leveled(df, "level", ["x"], tie="i", rows=rows)
+        assert dealt.join(again.select("i", F.col("level").alias("other")), "i").filter("level != other").isEmpty()
+        down, _ = ranking.leveled(df, "level", ["x"], ["x"], tie="i", rows=rows)
+        assert down.groupBy("level").count().agg(F.max("count")).head()[0] <= 2 * rows
+    finally:
+        ranking.TREE = many
+    key = lambda r: (r.x is not None, r.x or 0 if kind != "prefix" else r.x, r.i)
+    got = dense_pos(df, "x", tie="i", rows=rows).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(n)) and [r.i for r in got] == [r.i for r in sorted(got, key=key)]
+
+
+def test_more_buckets_than_the_driver_takes(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MOST", 4)
+    s = spark.range(1000).select(F.col("id").alias("pos"), (F.col("id") % 7).alias("v"))
+    assert values(running(s, F.col("v"), "sum", "r", bucket=1), "r") == list(itertools.accumulate(i % 7 for i in range(1000)))
+    assert values(ranking.compact(s.filter("v = 3"), bucket=1)) == [3] * 143
+
+
+def test_columns_with_clashing_names(spark):
+    s = spark.createDataFrame([(i, (i * 7) % 5, i, i, i, i, i) for i in range(9)], "pos long, v long, _b long, _old long, _key long, _level long, `_r.x` long")
+    for df in (so.sort(s), so.partial_sort(s, 3), so.nth_element(s, 4), re.unique(s), re.stable_partition(s, lambda v: v > 2), re.copy_if(s, lambda v: v > 1), ag.inclusive_scan(s), ag.adjacent_difference(s)):
+        assert sorted(df.columns) == sorted(s.columns)
+        for r in df.collect():
+            assert r["_b"] == r["_old"] == r["_key"] == r["_level"] == r["_r.x"]
+
+
+def test_nulls_and_not_a_number(spark):
+    s = seq(spark, [5, None, None, 1])
+    assert values(so.nth_element(s, 1)) == [None, None, 5, 1] and values(so.sort(s)) == [None, None, 1, 5]
+    q = seq(spark, [None, 1, 2, 9])
+    assert values(ag.lower_bound(s, q), "result") == [0, 2, 3, 4] and values(ag.upper_bound(s, q), "result") == [2, 3, 3, 4]
+    assert values(ag.binary_search(s, q), "result") == [True, True, False, False]
+    x = spark.createDataFrame([(0, float("nan")), (1, 2.0), (2, None), (3, -0.0)], "pos long, v double")
+    assert [str(v) for v in values(so.sort(x))] == ["None", "-0.0", "2.0", "nan"]
+
+
+def test_operations_by_name(spark):
+    flags = spark.createDataFrame([(0, False), (1, True), (2, False)], "pos long, v boolean")
+    assert values(ag.exclusive_scan(flags, False, "logical_or")) == [False, False, True]
+    assert values(ag.inclusive_scan(flags, "logical_and")) == [False, False, False]
+    with pytest.raises(ValueError):
+        ag.exclusive_scan(flags, False, "xor")
+    big = seq(spark, [94906267, 94906267])
+    assert one(ag.reduce(big, 1, "multiplies")) == 94906267**2 and values(ag.inclusive_scan(big, "multiplies")) == [94906267, 94906267**2]
+    runs = seq(spark, [94906267, 94906267, 3], k=[1, 1, 2])
+    assert [r.v for r in ag.reduce_by_segment(runs, "multiplies").orderBy("pos").collect()] == [94906267**2, 3]
+
+
+@CASES
+@given(a=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 9)), max_size=30))
+def test_operations_of_the_caller_by_segment(spark, a):
+    s = seq(spark, [v for _, v in a], k=[k for k, _ in a])
+    op = lambda x, y: max(x, y)
+    runs = [[v for _, v in g] for _, g in itertools.groupby(a, key=lambda r: r[0])]
+    assert [r.v for r in ag.reduce_by_segment(s, op).orderBy("pos").collect()] == [max(g) for g in runs]
+    assert values(ag.inclusive_scan_by_segment(s, op)) == [x for g in runs for x in itertools.accumulate(g, max)]
+    assert values(ag.exclusive_scan_by_segment(s, 4, op)) == [x for g in runs for x in list(itertools.accumulate(g, max, initial=4))[:-1]]
+    for bucket in (1, 2, 5):
+        assert values(segment_scan(s, "k", F.col("v"), "sum", "r", bucket=bucket), "r") == [x for g in runs for x in itertools.accumulate(g)]
+        assert values(scan_with(s, "v", op, None, "r", key="k", bucket=bucket), "r") == [x for g in runs for x in itertools.accumulate(g, max)]
+
+
+@CASES
+@given(a=NUMBERS, n=st.integers(0, 40))
+def test_orders_of_the_caller(spark, a, n):
+    s, by = seq(spark, a), lambda v: [v % 3, v]
+    order = lambda i: (-(a[i] % 3), a[i], i)
+    want = [a[i] for i in sorted(range(len(a)), key=order)]
+    assert values(so.sort(s, [True, False], by=by)) == want
+    assert values(so.partial_sort_copy(s, n, [True, False], by)) == want[:n]
+    front = sorted(range(len(a)), key=order)[:n]
+    assert values(so.partial_sort(s, n, [True, False], by)) == [a[i] for i in front] + [x for i, x in enumerate(a) if i not in front]
+    if n < len(a):
+        assert one(so.nth_value(s, n, [True, False], by)) == want[n] and values(so.nth_element(s, n, [True, False], by))[n] == want[n]
+    pattern = a[1:3] or [9]
+    assert one(se.search(s, seq(spark, pattern))) == one(se.search(s, pattern)) and one(se.find_end(s, seq(spark, pattern))) == one(se.find_end(s, pattern))
 
 
 def test_views(spark):

@@ -33,20 +33,20 @@ def test_multisets_of_every_line(spark, halves):
     d, a, b = halves
     x, y = Counter(a), Counter(b)
     spread = lambda c: sorted(c.elements())
-    assert rows(spark, d, "merge_whole") == sorted(a + b) and rows(spark, d, "merge_limited_whole") == sorted(a + b)[:100]
-    assert rows(spark, d, "set_union_whole") == spread(x | y) and rows(spark, d, "set_intersection_whole") == spread(x & y)
-    assert rows(spark, d, "set_difference_whole") == spread(x - y) and rows(spark, d, "set_symmetric_difference_whole") == spread((x - y) + (y - x))
-    assert registry.QUERIES["includes_whole"](spark, d).head().result
-    assert registry.QUERIES["includes_not_whole"](spark, d).head().result == (not y - x)
+    assert rows(spark, d, "merge") == sorted(a + b) and rows(spark, d, "merge_limited") == sorted(a + b)[:100]
+    assert rows(spark, d, "set_union") == spread(x | y) and rows(spark, d, "set_intersection") == spread(x & y)
+    assert rows(spark, d, "set_difference") == spread(x - y) and rows(spark, d, "set_symmetric_difference") == spread((x - y) + (y - x))
+    assert registry.QUERIES["includes"](spark, d).head().result
+    assert registry.QUERIES["includes_not"](spark, d).head().result == (not y - x)
 
 
 def test_bounds_of_every_part(spark, halves):
     d, a, _ = halves
-    assert rows(spark, d, "lower_bound_whole", "result") == [bisect_left(a, k) for k in range(40)]
-    assert rows(spark, d, "upper_bound_whole", "result") == [bisect_right(a, k) for k in range(40)]
-    assert rows(spark, d, "binary_search_whole", "result") == [k in set(a) for k in range(40)]
+    assert rows(spark, d, "lower_bound", "result") == [bisect_left(a, k) for k in range(40)]
+    assert rows(spark, d, "upper_bound", "result") == [bisect_right(a, k) for k in range(40)]
+    assert rows(spark, d, "binary_search", "result") == [k in set(a) for k in range(40)]
 
 
 def test_halves_make_up_the_table(spark, sf):
-    early, late, lines = (registry.part_keys(spark, sf, test).count() for test in (registry.HALF_EARLY, registry.HALF_LATE, "true"))
+    early, late, lines = (registry.part_keys(spark, sf, test).count() for test in (registry.EARLY, registry.LATE, "true"))
     assert early + late == lines and min(early, late) > lines / 3
