@@ -1,17 +1,20 @@
 """Repeated windows of a corpus, found through phrases instead of through every position.
 
-`covered_spans` returns, for each document, the token ranges covered by windows that also start
-elsewhere (``mode="elsewhere"``) or earlier (``mode="earlier"``).  The plan:
+`covered_spans` returns, for each row, the token ranges covered by windows that also start elsewhere
+(``mode="elsewhere"``) or earlier (``mode="earlier"``).  The plan:
 
 1. one scan cuts every text into phrases (`_tokens.runs`);
 2. phrases whose trigger string occurs once are dropped: no window of theirs can repeat
    (counted with map-side partial aggregation, so a frequent trigger costs one row per task);
-3. the rest form the dictionary: distinct phrases with a count and a first occurrence.  A phrase
-   that occurs again is settled as a whole;
+3. the rest form the dictionary: distinct phrases (by trigger and BLAKE2b digest of their bytes) with a
+   count and a first occurrence.  A phrase that occurs again is settled as a whole;
 4. only distinct phrases that share a trigger but differ elsewhere are compared window by window,
-   with their bytes (`resolve`), in tasks keyed by trigger.  A trigger with more than ``hot``
-   different phrases is compared by 128-bit window hashes in a partially aggregated group-by
-   instead, so that no group has to fit one task.
+   with their bytes (`resolve`), in tasks keyed by trigger.  The windows of a trigger with more than
+   ``hot`` different phrases are compared by 128-bit BLAKE2b digests in a partially aggregated group-by:
+   the exact way for groups that do not fit one task, with the same results.
+
+A row is known by `identified`: its ``doc_id`` and a hash of its text, so rows that share an id keep their
+own ranges, and rows without an id take part.
 """
 
 from __future__ import annotations
@@ -26,17 +29,35 @@ from pyspark.sql import functions as F
 from . import _tokens as tk
 from ._shared import Scratch, cut
 
-RUN_SCHEMA = "doc_id long, place long, key long, ext long"
-SEGMENT_SCHEMA = "key long, doc_id long, place long, times long, segment binary"
-SPAN_SCHEMA = "doc_id long, s long, e long"
-HASH_SCHEMA = "h0 long, h1 long, doc_id long, start long, times long"
+RUN_SCHEMA = "doc long, mark int, place long, key long, ext long"
+SEGMENT_SCHEMA = "key long, doc long, mark int, place long, times long, segment binary"
+SPAN_SCHEMA = "doc long, mark int, s long, e long"
+HASH_SCHEMA = "h0 long, h1 long, doc long, mark int, start long, times long"
 
 #: A place packs first token, number of windows and trigger distance of a phrase.
 _BITS = 12
 
 
-def tokens_of(kind: str) -> Callable[[np.ndarray, np.ndarray], tk.Tokens]:
-    return {"bytes": tk.byte_tokens, "words": tk.word_tokens}[kind]
+def identified(docs: DataFrame) -> DataFrame:
+    """``doc, mark, text``: what a row is known by, and its text.
+
+    ``doc`` is the ``doc_id``, or a hash of the text where there is none; ``mark`` is another hash of the
+    text, odd where there is no id.  Rows equal in id and text share both and get the same result.
+    """
+    none = F.col("doc_id").isNull()
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    mark = F.hash("text").bitwiseAND(F.lit(-2)).bitwiseOR(none.cast("int"))
+    return docs.select(doc.alias("doc"), mark.alias("mark"), "text")
+
+
+def occurrence(place: str = "place"):
+    """Orders occurrences: rows with an id before those without, smaller ids, then hashes of texts, then places."""
+    return F.struct(F.col("mark").bitwiseAND(1).alias("late"), "doc", "mark", place)
+
+
+def tokens_of(kind: str, raw: np.ndarray, off: np.ndarray) -> tk.Tokens:
+    """Tokens of texts; words are taken from texts with one space between them."""
+    return tk.byte_tokens(raw, off) if kind == "bytes" else tk.word_tokens(raw, off)
 
 
 def pack(lo: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -58,15 +79,17 @@ def phrases(docs: DataFrame, kind: str, width: int, gram: int) -> DataFrame:
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.small(batches):
             raw, off = tk.utf8(batch.column("text"))
-            ids = batch.column("doc_id")
+            if kind == "words":
+                raw, off = tk.spaced(raw, off)
+            doc, mark = batch.column("doc"), batch.column("mark")
             for i, j in tk.blocks(off):
-                t = tokens_of(kind)(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                r = tk.runs(t, width, gram)
+                r = tk.runs(tokens_of(kind, raw[off[i] : off[j]], off[i : j + 1] - off[i]), width, gram)
                 if len(r.lo):
-                    cols = [ids.take(pa.array(r.text + i)), longs(pack(r.lo, r.n, r.at)), longs(r.key), longs(r.ext)]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "place", "key", "ext"])
+                    at = pa.array(r.text + i)
+                    cols = [doc.take(at), mark.take(at), longs(pack(r.lo, r.n, r.at)), longs(r.key), longs(r.ext)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc", "mark", "place", "key", "ext"])
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(cut_texts, RUN_SCHEMA)
+    return identified(docs).mapInArrow(cut_texts, RUN_SCHEMA)
 
 
 def tokens_in(text: pa.Array, at: int, kind: str) -> bytes | list[bytes]:
@@ -76,12 +99,12 @@ def tokens_in(text: pa.Array, at: int, kind: str) -> bytes | list[bytes]:
 
 
 def segments(docs: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataFrame:
-    """The tokens of chosen phrases.  ``wanted``: doc_id, key, place, times."""
-    places = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "times")).alias("places"))
+    """The tokens of chosen phrases.  ``wanted``: doc, mark, key, place, times."""
+    places = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "place", "times")).alias("places"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.small(batches):
-            ids, text, lists = (batch.column(c) for c in ("doc_id", "text", "places"))
+            doc, mark, text, lists = (batch.column(c) for c in ("doc", "mark", "text", "places"))
             out: list[tuple] = []
             for i in range(batch.num_rows):
                 x = tokens_in(text, i, kind)
@@ -89,30 +112,33 @@ def segments(docs: DataFrame, wanted: DataFrame, kind: str, width: int) -> DataF
                     lo, n, _ = unpack(p["place"])
                     if lo + n + width - 1 <= len(x):
                         part = x[lo : lo + n + width - 1]
-                        out.append((p["key"], ids[i].as_py(), p["place"], p["times"], part if kind == "bytes" else b" ".join(part)))
-            cols = zip(*out) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["key", "doc_id", "place", "times", "segment"])
+                        out.append((p["key"], doc[i].as_py(), mark[i].as_py(), p["place"], p["times"], part if kind == "bytes" else b" ".join(part)))
+            cols = zip(*out) if out else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["key", "doc", "mark", "place", "times", "segment"])
 
-    return docs.select("doc_id", "text").join(places, "doc_id").mapInArrow(take, SEGMENT_SCHEMA)
+    return identified(docs).join(places, ["doc", "mark"]).mapInArrow(take, SEGMENT_SCHEMA)
 
 
 def resolved(found: DataFrame, kind: str, width: int, resolve: Callable) -> DataFrame:
     """Spans of the windows that ``resolve`` settles, group by group of equal keys, in bounded batches."""
 
     def settle(rows: list[dict]) -> pa.RecordBatch:
-        spans: list[tuple[int, int, int]] = []
+        spans: list[tuple[int, int, int, int]] = []
         for row, hit in zip(rows, resolve(rows, width)):
             lo = row["place"] >> 2 * _BITS
             at = np.flatnonzero(hit)
-            spans += [(row["doc_id"], lo + int(s), lo + int(e)) for s, e in zip(*tk.union(at, at + width))]
-        cols = zip(*spans) if spans else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "s", "e"])
+            spans += [(row["doc"], row["mark"], lo + int(s), lo + int(e)) for s, e in zip(*tk.union(at, at + width))]
+        cols = zip(*spans) if spans else [[]] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc", "mark", "s", "e"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in tk.small(batches):
             for row in batch.to_pylist():
+                if held and all(row[c] == held[-1][c] for c in ("key", "doc", "mark", "place")):
+                    continue  # rows equal in id and text give their phrases once
                 if len(held) >= 4096 and row["key"] != held[-1]["key"]:
                     yield settle(held)
                     held = []
@@ -120,32 +146,34 @@ def resolved(found: DataFrame, kind: str, width: int, resolve: Callable) -> Data
         if held:
             yield settle(held)
 
-    return found.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(stream, SPAN_SCHEMA)
+    order = found.withColumn("late", F.col("mark").bitwiseAND(1)).repartition("key").sortWithinPartitions("key", "late", "doc", "mark", "place")
+    return order.drop("late").mapInArrow(stream, SPAN_SCHEMA)
 
 
 def hot_windows(docs: DataFrame, wanted: DataFrame, scratch: Scratch, kind: str, width: int, mode: str) -> DataFrame:
-    """The same for triggers with very many phrases: window hashes, partially aggregated."""
-    found = segments(docs, wanted, kind, width)
+    """The same for triggers with very many phrases: digests of whole windows, partially aggregated."""
+    found = segments(docs, wanted, kind, width).dropDuplicates(["key", "doc", "mark", "place"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 lo, n, _ = unpack(row["place"])
                 raw = np.frombuffer(row["segment"], np.uint8)
-                h0, h1 = tk.window_hashes(tokens_of(kind)(raw, np.array([0, len(raw)])), 0, 0, n, width)
-                cols = [longs(h0), longs(h1), pa.array([row["doc_id"]] * n, pa.int64()), longs(lo + np.arange(n)), pa.array([row["times"]] * n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["h0", "h1", "doc_id", "start", "times"])
+                h = tk.window_digests(tokens_of(kind, raw, np.array([0, len(raw)])), int(n), width)
+                same = [pa.array([row[c]] * n, t) for c, t in (("doc", pa.int64()), ("mark", pa.int32()))]
+                cols = [longs(h[:, 0]), longs(h[:, 1]), *same, longs(lo + np.arange(n)), pa.array([row["times"]] * n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["h0", "h1", "doc", "mark", "start", "times"])
 
     windows = scratch.cut(found.mapInArrow(explode, HASH_SCHEMA), "windows")
-    total = windows.groupBy("h0", "h1").agg(F.sum("times").alias("total"), F.min(F.struct("doc_id", "start")).alias("first")).filter("total > 1")
+    total = scratch.cut(windows.groupBy("h0", "h1").agg(F.sum("times").alias("total"), F.min(occurrence("start")).alias("first")).filter("total > 1"), "frequent")
     hits = windows.join(total, ["h0", "h1"])
     if mode == "earlier":
-        hits = hits.filter(F.struct("doc_id", "start") != F.col("first"))
-    return hits.select("doc_id", F.col("start").alias("s"), (F.col("start") + width).alias("e"))
+        hits = hits.filter(occurrence("start") != F.col("first"))
+    return hits.select("doc", "mark", F.col("start").alias("s"), (F.col("start") + width).alias("e"))
 
 
 def covered_spans(docs: DataFrame, *, kind: str, width: int, gram: int, mode: str, resolve: Callable, runs: DataFrame | None = None, hot: int = 20_000) -> DataFrame:
-    """``doc_id, spans array<struct<s, e>>``; ``docs`` needs ``doc_id`` and ``text``.
+    """``doc, mark, spans array<struct<s, e>>``; ``docs`` needs ``doc_id`` and ``text``.
 
     ``runs`` may give the phrases of ``docs`` if they are stored already.
     """
@@ -155,24 +183,24 @@ def covered_spans(docs: DataFrame, *, kind: str, width: int, gram: int, mode: st
         if runs is None:
             runs = scratch.cut(phrases(docs, kind, width, gram), "phrases")
         spans = found_spans(docs, runs, scratch, kind, width, mode, resolve, hot)
-        return cut(spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+        return cut(spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
 
 
 def found_spans(docs: DataFrame, runs: DataFrame, scratch: Scratch, kind: str, width: int, mode: str, resolve: Callable, hot: int) -> DataFrame:
     # stored first, so that both sides of the join are plain exchanges and a frequent trigger can be split
     often = scratch.cut(runs.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "frequent")
     some = scratch.cut(runs.join(often, "key"), "candidates")
-    entries = scratch.cut(some.groupBy("key", "ext").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "place")).alias("first")), "dictionary")
+    entries = scratch.cut(some.groupBy("key", "ext").agg(F.count(F.lit(1)).alias("times"), F.min(occurrence()).alias("first")), "dictionary")
     if mode == "elsewhere":
         whole = some.join(entries.filter("times > 1").select("key", "ext"), ["key", "ext"])
     else:
         again = entries.filter("times > 1").select("key", "ext", "first")
-        whole = some.join(again, ["key", "ext"]).filter(F.struct("doc_id", "place") != F.col("first"))
+        whole = some.join(again, ["key", "ext"]).filter(occurrence() != F.col("first"))
     lo, n = F.shiftrightunsigned("place", 2 * _BITS), F.shiftright("place", _BITS).bitwiseAND((1 << _BITS) - 1)
     # each part is stored by itself: its exchanges are gone before the next part's, which carry texts
-    whole = scratch.cut(whole.select("doc_id", lo.alias("s"), (lo + n + (width - 1)).alias("e")), "whole")
+    whole = scratch.cut(whole.select("doc", "mark", lo.alias("s"), (lo + n + (width - 1)).alias("e")), "whole")
     mixed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    wanted = scratch.cut(entries.join(mixed, "key").select("key", "kinds", "times", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "mixed")
+    wanted = scratch.cut(entries.join(mixed, "key").select("key", "kinds", "times", F.col("first.doc").alias("doc"), F.col("first.mark").alias("mark"), F.col("first.place").alias("place")), "mixed")
     spans = whole.unionByName(scratch.cut(resolved(segments(docs, wanted.filter(F.col("kinds") <= hot), kind, width), kind, width, resolve), "resolved"))
     if not wanted.filter(F.col("kinds") > hot).isEmpty():
         spans = spans.unionByName(hot_windows(docs, wanted.filter(F.col("kinds") > hot), scratch, kind, width, mode))
@@ -200,7 +228,8 @@ def apply_spans(docs: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tk.small(batches):
-            ids, text, lists = (batch.column(c) for c in ("doc_id", "text", "spans"))
+            doc, mark, text, lists = (batch.column(c) for c in ("doc", "mark", "text", "spans"))
+            ids = pa.array(doc.to_numpy(), pa.int64(), mask=(mark.to_numpy() & 1).astype(bool))
             n, gone, ranges, kept = [], [], [], []
             for i in range(batch.num_rows):
                 x = tokens_in(text, i, kind)
@@ -211,8 +240,8 @@ def apply_spans(docs: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
                 kept.append(b"".join(left) if kind == "bytes" else b" ".join(w for part in left for w in part))
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(ranges, span), pa.array(kept, pa.binary())],
+                [ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(ranges, span), pa.array(kept, pa.binary())],
                 ["doc_id", "n_tokens", "n_removed", "spans", "kept"],
             )
 
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(strip, OUT_SCHEMA)
+    return identified(docs).join(spans, ["doc", "mark"], "left").mapInArrow(strip, OUT_SCHEMA)

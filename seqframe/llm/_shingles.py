@@ -17,11 +17,17 @@ def shingles(raw: np.ndarray, off: np.ndarray, words: int = 5) -> tuple[np.ndarr
     """
     t = tk.word_tokens(raw, off, lower=True)
     count = np.diff(t.first)
-    sums = tk.prefix(t.hashes[0])
     size = np.maximum(count - words + 1, (count > 0).astype(np.int64))
     first = np.repeat(t.first[:-1], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     last = np.minimum(first + words, np.repeat(t.first[1:], size))
-    h = tk.span(sums, first, last)
+    # the words of a shingle one after another through a finaliser
+    h = tk.mix((last - first).astype(U))
+    for k in range(words):
+        in_it = first + k < last
+        if in_it.all():
+            h = tk.mix(h ^ t.hashes[first + k])
+        else:
+            h[in_it] = tk.mix(h[in_it] ^ t.hashes[first[in_it] + k])
     parts, out = [], np.zeros(len(size) + 1, np.int64)
     ends = np.cumsum(size)
     for i, e in enumerate(ends):

@@ -11,14 +11,16 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 #: Bytes of text that one vectorised step works on; longer texts are cut with overlap.
 SLICE = 1 << 18
 #: Rows of an Arrow batch that a Python worker handles at once: its memory stays small.
@@ -32,32 +34,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _tables(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the lane's base and of its inverse modulo 2**64, at least ``n`` of each."""
-    have = _powers.get(lane)
-    if have is None or len(have[0]) < n:
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
+    if not _powers or len(_powers[0]) < n:
         size = max(n, SLICE + 4096)
-        base = _BASES[lane]
-        up = np.full(size, base, U)
-        down = np.full(size, pow(base, -1, 1 << 64), U)
+        up = np.full(size, _BASE, U)
+        down = np.full(size, pow(_BASE, -1, 1 << 64), U)
         up[0] = down[0] = 1
-        have = _powers[lane] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have
+        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    return _powers
 
 
-BYTE_HASH = [mix(np.arange(256, dtype=U) + U(k)) for k in (0x1234567, 0x7654321)]
+BYTE_HASH = mix(np.arange(256, dtype=U) + U(0x1234567))
 
 
-def prefix(values: np.ndarray, lane: int = 0) -> np.ndarray:
-    """Prefix sums from which `span` takes the hash of any stretch."""
+def prefix(values: np.ndarray) -> np.ndarray:
+    """Prefix sums from which `span` takes the rolling hash of any stretch."""
     out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * _tables(lane, len(values) + 1)[0][: len(values)], out=out[1:])
+    np.cumsum(values * _tables(len(values) + 1)[0][: len(values)], out=out[1:])
     return out
 
 
-def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """Hashes of the stretches [start, end), independent of where they stand."""
-    return mix((sums[end] - sums[start]) * _tables(lane, len(sums))[1][start] + (end - start).astype(U))
+def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rolling hashes of the stretches [start, end), independent of where they stand.
+
+    They choose triggers and bring candidates together, nothing more: a hash that is a polynomial modulo
+    2**64 has equal values for some built texts, so what decides a result is `word_hashes` or `digests`.
+    """
+    return mix((sums[end] - sums[start]) * _tables(len(sums))[1][start] + (end - start).astype(U))
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, long: int = 256) -> np.ndarray:
+    """64-bit hashes of the byte ranges: eight bytes after another through a finaliser; xxh3 for ``long`` ones."""
+    n = end - start
+    out = mix(n.astype(U) + U(0x9E3779B97F4A7C15))
+    eights = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    live, at = np.flatnonzero((n > 0) & (n <= long)), 0
+    while len(live):
+        left = n[live] - at
+        v = eights[start[live] + at]
+        short = left < 8
+        v[short] &= (U(1) << (left[short] * 8).astype(U)) - U(1)
+        out[live] = mix((out[live] ^ v) + U(0xD1B54A32D192ED03))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(n > long):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return out
+
+
+def digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = 8) -> np.ndarray:
+    """BLAKE2b digests of the byte ranges, as rows of 64-bit numbers: equal for equal bytes alone, as far as is known."""
+    data = memoryview(np.ascontiguousarray(raw))
+    found = b"".join([blake2b(data[a:b], digest_size=size).digest() for a, b in zip(start.tolist(), end.tolist())])
+    return np.frombuffer(found, U).reshape(-1, size // 8)
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -109,19 +138,19 @@ def blocks(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Tokens:
-    """Tokens of consecutive texts: byte ranges in ``raw``, text number, hashes in two lanes."""
+    """Tokens of consecutive texts: byte ranges in ``raw``, text number, hashes."""
 
     raw: np.ndarray
     start: np.ndarray
     end: np.ndarray
     text: np.ndarray
     first: np.ndarray  # number of the first token of every text, and the total
-    hashes: tuple[np.ndarray, np.ndarray]
+    hashes: np.ndarray
 
 
 def byte_tokens(raw: np.ndarray, off: np.ndarray) -> Tokens:
     at = np.arange(len(raw))
-    return Tokens(raw, at, at + 1, np.repeat(np.arange(len(off) - 1), np.diff(off)), off, (BYTE_HASH[0][raw], BYTE_HASH[1][raw]))
+    return Tokens(raw, at, at + 1, np.repeat(np.arange(len(off) - 1), np.diff(off)), off, BYTE_HASH[raw])
 
 
 def word_tokens(raw: np.ndarray, off: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None) -> Tokens:
@@ -140,19 +169,21 @@ def word_tokens(raw: np.ndarray, off: np.ndarray, lower: bool = False, breaks: n
     closes[:-1] &= ~word[1:] | cut[1:n]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     text = np.searchsorted(off, start, "right") - 1
-    lanes = []
-    for lane in (0, 1):
-        lanes.append(span(prefix(BYTE_HASH[lane][raw], lane), start, end, lane))
-    first = np.searchsorted(text, np.arange(len(off)))
-    return Tokens(raw, start, end, text, first, (lanes[0], lanes[1]))
+    return Tokens(raw, start, end, text, np.searchsorted(text, np.arange(len(off))), word_hashes(raw, start, end))
+
+
+def spaced(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts with one space between words, so that equal word sequences are equal bytes."""
+    texts = [b" ".join(raw[a:b].tobytes().split()) for a, b in zip(off[:-1], off[1:])]
+    return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
 
 
 @dataclass
 class Runs:
     """Phrases: ``n`` windows from token ``lo`` of text ``text`` share the trigger at token ``lo + at``.
 
-    ``key`` is the hash of the trigger string, ``ext`` that of all tokens of the run together
-    with the trigger's place.
+    ``key`` is the rolling hash of the trigger string, ``ext`` the digest of the bytes of all tokens of the
+    run together with the trigger's place.
     """
 
     text: np.ndarray
@@ -164,16 +195,16 @@ class Runs:
 
 
 def runs(t: Tokens, width: int, gram: int, step: int = SLICE) -> Runs:
-    """The phrases of all texts; a text of fewer than ``width`` tokens has none."""
+    """The phrases of all texts; a text of fewer than ``width`` tokens has none.  Words stand one space apart (`spaced`)."""
     parts: list[list[np.ndarray]] = []
     total = len(t.start)
     c = 0
     while total - c >= width:
         d = min(total, c + step + width - 1)
         text = t.text[c:d]
-        sums0, sums1 = prefix(t.hashes[0][c:d], 0), prefix(t.hashes[1][c:d], 1)
+        sums = prefix(t.hashes[c:d])
         grams = np.arange(d - c - gram + 1)
-        key = span(sums0, grams, grams + gram, 0)
+        key = span(sums, grams, grams + gram)
         packed = (key & U(0xFFFFFFFF00000000)) | grams.astype(U)
         trigger = (sliding_min(packed, width - gram + 1) & U(0xFFFFFFFF)).astype(np.int64)
         windows = d - c - width + 1
@@ -182,22 +213,16 @@ def runs(t: Tokens, width: int, gram: int, step: int = SLICE) -> Runs:
         n = np.diff(begin, append=windows)
         keep = trigger[begin] >= 0
         lo, n, at = begin[keep], n[keep], trigger[begin[keep]]
-        ext = span(sums1, lo, lo + n + width - 1, 1) ^ mix((at - lo).astype(U))
+        ext = digests(t.raw, t.start[c + lo], t.end[c + lo + n + width - 2])[:, 0] ^ mix((at - lo).astype(U))
         parts.append([text[lo], c + lo - t.first[text[lo]], n, at - lo, key[at], ext])
         c += step
     cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, U)] * 2
     return Runs(*cols)
 
 
-def window_hashes(t: Tokens, text: int, lo: int, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each of the ``n`` windows from token ``lo`` of a text."""
-    a = t.first[text] + lo
-    out = []
-    for lane in (0, 1):
-        sums = prefix(t.hashes[lane][a : a + n + width - 1], lane)
-        at = np.arange(n)
-        out.append(span(sums, at, at + width, lane))
-    return out[0], out[1]
+def window_digests(t: Tokens, n: int, width: int) -> np.ndarray:
+    """128-bit digests of the first ``n`` windows of the one text in ``t``: rows of two numbers."""
+    return digests(t.raw, t.start[:n], t.end[width - 1 : width - 1 + n], 16)
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

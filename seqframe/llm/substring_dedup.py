@@ -1,11 +1,12 @@
 """Incremental removal of word windows that were seen before.
 
-Method: a log-structured fingerprint index.  Each batch of documents becomes a sorted immutable run
-of window fingerprints (one per trigger, `_tokens.runs`: all windows around a trigger share it).  The
-batch is merge-joined with the runs of earlier batches on the fingerprint; phrases that share it and
-differ are compared word by word, while a phrase whose trigger and extent hashes (64 bits each) equal
-an earlier one's is taken for the same words without a look at them; once ``fanout`` runs have gathered they are compacted into one that keeps the first
-occurrence of each distinct phrase.
+Method: a log-structured fingerprint index.  Each batch of documents becomes a sorted immutable run: the
+distinct phrases of its texts, a phrase being all windows around one trigger (`_tokens.runs`), with their
+first occurrence.  Runs are bucketed by fingerprint, so a batch is merge-joined with the runs of earlier
+batches bucket by bucket, and history is read but never moved.  Phrases that share a fingerprint are
+compared word by word unless the 64-bit BLAKE2b digests of their words are equal too.  Once ``fanout`` runs
+have gathered they are compacted, bucket by bucket, into one.  A manifest in the folder names the runs, so
+an index can be opened again.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._repeats import RUN_SCHEMA, apply_spans, covered_spans, phrases, unpack
-from ._shared import cut, shared_dir
+from ._repeats import apply_spans, covered_spans, occurrence, phrases, unpack
+from ._shared import Scratch, delete, shared_dir
 
 
 def seen_windows(rows: list[dict], width: int) -> list[np.ndarray]:
@@ -33,24 +34,56 @@ def seen_windows(rows: list[dict], width: int) -> list[np.ndarray]:
     return out
 
 
+def _firsts(first: str) -> list:
+    return [F.col(f"{first}.{c}").alias(c) for c in ("doc", "mark", "place")]
+
+
 class FingerprintIndex:
     """Runs of window fingerprints in a folder that all executors see.
 
-    ``width`` words form a window, ``gram`` of them its fingerprint.  ``fanout`` runs are compacted.
+    ``width`` words form a window, ``gram`` of them its fingerprint.  ``fanout`` runs are compacted.  All runs
+    have the same number of ``buckets``; one task reads a bucket of each.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, width: int = 20, gram: int = 5, fanout: int = 4):
-        self.spark, self.width, self.gram, self.fanout = spark, width, gram, fanout
+    def __init__(self, spark: SparkSession, path: str | None = None, width: int = 20, gram: int = 5, fanout: int = 4, buckets: int = 8):
+        self.spark, self.width, self.gram, self.fanout, self.buckets = spark, width, gram, fanout, buckets
         self.path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         self.runs: list[str] = []
-
-    def _run(self, name: str) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(name)
-
-    def history(self) -> DataFrame | None:
-        found = None
-        for name in self.runs:
-            found = self._run(name) if found is None else found.unionByName(self._run(name))
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that another session left in ``path``."""
+        last = spark.read.json(f"{path}/manifest-*").orderBy(F.desc("version")).head()
+        index = cls(spark, path, last["width"], last["gram"], last["fanout"], last["buckets"])
+        index.version, index.runs = last["version"], list(last["runs"])
+        for run in index.runs:
+            columns = "doc BIGINT, mark INT, place BIGINT, key BIGINT, ext BIGINT"
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {run} ({columns}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {index.buckets} BUCKETS LOCATION '{path}/{run}'")
+        return index
+
+    def _write(self, run: DataFrame, label: str) -> str:
+        name = f"seqframe_{label}_{uuid.uuid4().hex}"
+        picked = run.select("doc", "mark", "place", "key", "ext").sortWithinPartitions("key")
+        picked.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.path}/{name}").saveAsTable(name, format="parquet")
+        return name
+
+    def _commit(self, runs: list[str]) -> None:
+        """The manifest of the next version; files of runs that it no longer names are deleted after it."""
+        gone, self.runs, self.version = [r for r in self.runs if r not in runs], runs, self.version + 1
+        row = [(self.version, self.width, self.gram, self.fanout, self.buckets, runs)]
+        kinds = "version long, width int, gram int, fanout int, buckets int, runs array<string>"
+        self.spark.createDataFrame(row, kinds).coalesce(1).write.json(f"{self.path}/manifest-{self.version:06d}")
+        for run in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            delete(self.spark, f"{self.path}/{run}")
+
+    def met(self, run: str) -> DataFrame | None:
+        """What earlier runs hold under the fingerprints of ``run``: a merge join of buckets."""
+        keys, found = self.spark.table(run).select("key"), None
+        for old in self.runs:
+            part = self.spark.table(old).join(keys, "key", "left_semi")
+            found = part if found is None else found.unionByName(part)
         return found
 
     def add(self, batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
@@ -58,50 +91,63 @@ class FingerprintIndex:
 
         ``earlier`` gives ``doc_id, text`` of the batches added before; hits that differ as phrases are compared on it.
         """
-        name = f"{self.path}/run-{len(self.runs):05d}-{uuid.uuid4().hex}"
-        phrases(batch, "words", self.width, self.gram).sortWithinPartitions("key").write.parquet(name)
-        new, old = self._run(name), self.history()
-        runs, texts = new, batch.select("doc_id", "text")
-        if old is not None:
-            runs = new.unionByName(cut(old.join(new.select("key").distinct(), "key", "left_semi").select(*new.columns), "met"))
-            texts = texts.unionByName(earlier.select("doc_id", "text"))
-        spans = covered_spans(texts, kind="words", width=self.width, gram=self.gram, mode="earlier", resolve=seen_windows, runs=runs)
-        self.runs.append(name)
+        with Scratch(self.spark) as scratch:
+            runs, texts = scratch.cut(phrases(batch, "words", self.width, self.gram), "phrases"), batch.select("doc_id", "text")
+            firsts = runs.groupBy("key", "ext").agg(F.min(occurrence()).alias("first")).select("key", "ext", *_firsts("first"))
+            run = self._write(firsts.repartition(self.buckets, "key"), "run")
+            if self.runs:
+                runs = runs.unionByName(scratch.cut(self.met(run), "met"))
+                texts = texts.unionByName(earlier.select("doc_id", "text"))
+            spans = covered_spans(texts, kind="words", width=self.width, gram=self.gram, mode="earlier", resolve=seen_windows, runs=runs)
+        self._commit([*self.runs, run])
         if len(self.runs) >= self.fanout:
             self.compact()
         return apply_spans(batch, spans, "words")
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run of first occurrences; the old files stay for their readers."""
-        first = F.min(F.struct("doc_id", "place")).alias("first")
-        merged = self.history().groupBy("key", "ext").agg(first).select(F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), "key", "ext")
-        name = f"{self.path}/run-compact-{uuid.uuid4().hex}"
-        merged.repartitionByRange("key").sortWithinPartitions("key").write.parquet(name)
-        self.runs = [name]
-
-
-def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 5, batches: int = 2, fanout: int = 4) -> DataFrame:
+        """Merge all runs, bucket by bucket, into one run of first occurrences."""
+        setting = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(setting)
+        # rows of equal key and ext are in the same bucket of every run already
+        self.spark.conf.set(setting, "false")
+        try:
+            merged = None
+            for run in self.runs:
+                own = self.spark.table(run).select("key", "ext", occurrence().alias("own"))
+                if merged is None:
+                    merged = own.withColumnRenamed("own", "first")
+                else:
+                    merged = merged.join(own, ["key", "ext"], "full").select("key", "ext", F.least("first", "own").alias("first"))
+            name = self._write(merged.select("key", "ext", *_firsts("first")), "compact")
+        finally:
+            self.spark.conf.set(setting, before)
+        self._commit([name])
+
+
+def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 5, batches: int = 2, fanout: int = 4, bucket_bytes: int = 64 << 20) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts earlier.
 
     Earlier means in a document of smaller ``doc_id``, or before in the same text; windows are judged
     on the input.  Words are runs of characters other than 0x20 and 0x09 to 0x0D.  Needs ``doc_id``
     (integer) and ``text``; other columns are ignored.  ``batches`` ranges of ``doc_id`` pass through
     one `FingerprintIndex` in order, which is compacted at ``fanout`` runs; neither changes the result.
+    A bucket of the index is meant for ``bucket_bytes`` of text.
 
     Returns one row per input row: ``doc_id, n_tokens`` (words), ``n_removed, spans`` (maximal removed
     word ranges), ``kept`` (UTF-8, one space between words).  Null texts count as empty; shorter texts
-    than a window lose nothing.  Rows sharing a ``doc_id`` count as one document: the first of equal
-    windows stays in each.  A row whose ``doc_id`` is null loses nothing and is nobody's earlier copy.
-    An empty table gives an empty result.
+    than a window lose nothing.  Rows sharing a ``doc_id`` but not the text stand in the order of a hash
+    of their texts; rows equal in both are one document, and the first of equal windows stays in each.
+    Rows with a null ``doc_id`` stand behind all others.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    bounds = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0]).alias("b")).head().b or []
-    bounds = sorted(set(bounds[: batches - 1]))
-    index = FingerprintIndex(spark, width=width, gram=gram, fanout=fanout)
+    ranks = [i / batches for i in range(1, batches)] or [1.0]
+    known = docs.agg(F.percentile_approx("doc_id", ranks).alias("b"), F.sum(F.octet_length("text")).alias("n")).head()
+    bounds = sorted(set((known.b or [])[: batches - 1]))
+    index = FingerprintIndex(spark, width=width, gram=gram, fanout=fanout, buckets=min(1 << 16, max(8, -(-(known.n or 0) // bucket_bytes))))
     out, low = None, None
     for high in [*bounds, None]:
-        part = docs if low is None else docs.filter(F.col("doc_id") > low)
-        part = part if high is None else part.filter((F.col("doc_id") <= high) | (F.col("doc_id").isNull() if low is None else F.lit(False)))
+        part = docs if low is None else docs.filter((F.col("doc_id") > low) | F.col("doc_id").isNull())
+        part = part if high is None else part.filter(F.col("doc_id") <= high)
         left = index.add(part, docs.filter(F.col("doc_id") <= low) if low is not None else None)
         out, low = left if out is None else out.unionByName(left), high
     return out

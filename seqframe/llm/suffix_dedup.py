@@ -1,10 +1,11 @@
 """Removal of byte strings that occur more than once in a corpus.
 
 Method: prefix-free parsing.  Rolling-hash triggers cut the texts into phrases; the distinct
-phrases are the dictionary, their order in the texts the parse (`_repeats`).  Equal windows share
-their trigger, so the corpus order of two windows follows from two suffix arrays per trigger: that
-of the dictionary (what stands before the trigger, read backwards) and that of the parse (what
-follows it).  A window repeats when its ranks in both agree with another's to its depth.
+phrases are the dictionary (`_repeats`).  Equal windows share their trigger, so their order follows from
+two sorted lists of each trigger's phrases: what stands before the trigger, read backwards, and what
+follows it.  A window repeats when its ranks in both agree with another's to its depth.  These lists stand
+in for the suffix arrays of the whole dictionary and of the parse, and the order of all corpus positions,
+one record a byte, is not built.
 """
 
 from __future__ import annotations
@@ -61,9 +62,8 @@ def suffix_dedup(docs: DataFrame, width: int = 400, gram: int = 100) -> DataFram
     (remaining bytes; a cut may fall inside a character, hence binary).
 
     Null texts count as empty; shorter texts than ``width`` lose nothing; strings never cross texts.
-    Rows sharing a ``doc_id`` count as separate texts when strings are counted, and each loses the
-    ranges found for that id.  A row whose ``doc_id`` is null takes no part: it loses nothing and its
-    strings are not counted.  An empty table gives an empty result.
+    Every row is a text of its own, whether it shares its ``doc_id`` with others, or has none: its strings
+    are counted and it loses its own ranges.  An empty table gives an empty result.
     """
     spans = covered_spans(docs, kind="bytes", width=width, gram=gram, mode="elsewhere", resolve=repeated_windows)
     return apply_spans(docs, spans, "bytes")

@@ -9,6 +9,6 @@ def test_query_compacts_before_its_last_batch(spark, sf, monkeypatch):
     monkeypatch.setattr(substring_dedup.FingerprintIndex, "add", lambda self, *a: (seen.append(list(self.runs)), add(self, *a))[1])
     monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", lambda self: (seen.append("compact"), compact(self))[1])
     got = {tuple(r) for r in queries.QUERIES["op5_substring_dedup"](spark, sf).collect()}
-    assert "compact" in seen[:-2] and len(seen[-2]) == 1 and "run-compact-" in seen[-2][0]
+    assert "compact" in seen[:-2] and len(seen[-2]) == 1 and "seqframe_compact_" in seen[-2][0]
     want = substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf, "documents"), batches=1))
     assert got == {tuple(r) for r in want.collect()}
