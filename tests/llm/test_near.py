@@ -64,3 +64,26 @@ def test_null_ids_and_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, `n.head` int")
     assert sorted(r[2] for r in minhash_dedup.without_copies(df).collect()) == [1, 2, 3]
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_sharing_an_id(spark):
+    p, q = (" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+    rows = [(0, p), (5, p), (5, q), (2, q), (2, q), (9, "other words stand here alone"), (9, None), (7, "")]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(0, 0), (5, 0), (2, 0), (9, 9), (7, 7)}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_one_id_for_many_texts(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, 40)) for _ in range(30)]
+    rows = [(3, t) for t in texts] + [(i + 10, texts[i]) for i in range(20)] + [(4, texts[0])] * 3
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert {r.component_id for r in got} == {3}
+
+
+def test_texts_with_equal_polynomial_hashes(spark):
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, t), (2, t.translate(str.maketrans("ab", "ba")))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 2, True)}
