@@ -60,22 +60,24 @@ def shard(docs: DataFrame, shards: int = 16, carry: list[str] | None = None, cra
     spark = docs.sparkSession
     names = [c for c in (docs.columns if carry is None else carry) if c not in ("size", "shard", "slot")]
     text = F.coalesce("text", F.lit(""))
-    sized = docs.select(*named(names), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("_key"))
-    groups = cut(sized.groupBy("_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).withColumnRenamed("_key", "key"), "groups")
+    row = F.struct(*[c.alias(n) for c, n in zip(named(names), names)]) if names else F.struct(F.lit(None).alias("none"))
+    # the caller's columns travel as one struct, whatever they are called
+    sized = docs.select(row.alias("row"), F.col("doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("key"))
+    groups = cut(sized.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
     total, rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).head()
     packed = cut(crates(groups, max(1, total // (shards * crates_per_shard))), "crates")
     loads = packed.groupBy("crate").agg(F.sum("bytes").alias("bytes")).orderBy("crate").collect()
     bins = even_bins([r.bytes for r in loads], shards)
     plan = spark.createDataFrame([(r.crate, b) for r, b in zip(loads, bins)], "crate long, shard int")
-    placed = cut(packed.join(plan, "crate").select(F.col("key").alias("_key"), "shard"), "placed")
+    placed = cut(packed.join(plan, "crate").select("key", "shard"), "placed")
     cells = max(64, -(-rows // (shards * rows_per_cell)))
-    put = sized.join(placed, "_key").withColumn("_cell", F.pmod(F.xxhash64("doc_id", "_key"), F.lit(cells)))
-    per_cell = put.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    starts = cut(per_cell.select("shard", "_cell", F.coalesce(before, F.lit(0)).alias("_start")), "starts")
-    place = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("doc_id", "_key"))
-    slots = put.withColumn("_place", place).join(starts, ["shard", "_cell"])
-    return slots.select(*named(names), "size", "shard", (F.col("_start") + F.col("_place") - 1).alias("slot"))
+    put = sized.join(placed, "key").withColumn("cell", F.pmod(F.xxhash64("doc_id", "key"), F.lit(cells)))
+    per_cell = put.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cut(per_cell.select("shard", "cell", F.coalesce(before, F.lit(0)).alias("start")), "starts")
+    place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "key"))
+    slots = put.withColumn("place", place).join(starts, ["shard", "cell"])
+    return slots.select(*[F.col("row")[n].alias(n) for n in names], "size", "shard", (F.col("start") + F.col("place") - 1).alias("slot"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
