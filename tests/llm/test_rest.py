@@ -127,12 +127,48 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def test_newton_with_two_constraint_values(spark):
-    strata = spark.createDataFrame([("s", 10, 5, 1.0), ("s", 30, 2, 0.5), (None, 4, 3, 1.0)], "source string, size long, n long, c double")
-    goals = spark.createDataFrame([("s", 70.0), (None, 6.0)], "source string, target double")
-    lam = {r.source: r.lam for r in mixing.entropy_balance(strata, goals).collect()}
-    assert abs(50 * np.exp(lam["s"]) + 30 * np.exp(lam["s"] / 2) - 70) < 1e-6
-    assert abs(12 * np.exp(lam[None]) - 6) < 1e-9
+def balanced(sizes, target, most=2.0):
+    """The tilt by halving: an independent solver."""
+    sizes = np.array(sizes, float)
+    c = np.where(sizes > 0, sizes / (sizes + sizes.mean()), 0.0)
+    low, high = -1e5, 1e5
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (sizes * np.minimum(most, np.exp(np.minimum(mid * c, 5)))).sum() < target else (low, mid)
+    return low, np.minimum(most, np.exp(np.minimum(low * c, 5)))
+
+
+def test_tilts_against_halving(spark):
+    rng = np.random.default_rng(8)
+    docs = {"up": rng.integers(1, 300, 400), "down": rng.integers(1, 300, 400), None: rng.integers(1, 9, 50), "full": np.array([4, 5]), "none": np.array([0, 0])}
+    factor = {"up": 1.6, "down": 0.3, None: 1.0, "full": 2.0, "none": 0.0}
+    strata = spark.createDataFrame([(s, int(n), int(k)) for s, v in docs.items() for n, k in Counter(v.tolist()).items()], "source string, size long, n long")
+    plan = spark.createDataFrame([(s, int(v.sum()), len(v), float(factor[s] * v.sum())) for s, v in docs.items()], "source string, source_size long, n_docs long, target double")
+    lam = {r.source: r.lam for r in mixing.entropy_balance(strata, plan, 2.0).collect()}
+    assert set(lam) == {"up", "down", None}
+    for s, x in lam.items():
+        want, rates = balanced(docs[s], factor[s] * docs[s].sum())
+        assert abs(x - want) < 1e-6 and (s is None or rates.std() > 0.01)
+    df = spark.createDataFrame([(i, "w " * int(n), s) for s, v in docs.items() for i, n in enumerate(v)], "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(1,), share=0.8).collect()
+    own = {s: [r for r in got if r.source == s] for s in docs}
+    for s, rows in own.items():
+        if 0 < rows[0].target < 2 * rows[0].source_size:
+            _, rates = balanced([r.size for r in rows], rows[0].target)
+            assert all(abs(r.copies - w) < 1 for r, w in zip(rows, rates))
+
+
+def test_columns_with_clashing_names(spark):
+    more = [c for c in "rate _source _start row key cell start place source_size target n s k c units upto class lam n_docs _row _copy".split()]
+    rows = [(i, f"w{i % 3} x y", "ab"[i % 2], *[i] * len(more), i) for i in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *[f"{c} long" for c in more], "`a.b` long"]))
+    for out in (mixing.mix(df), sharding.shard(df, 2)):
+        got = out.collect()
+        assert len(got) == 12 and all(r[c] == r.doc_id for r in got for c in [*more, "a.b"] if c not in ("source_size", "target"))
+    import corpus_pipeline
+
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    assert mixed.columns == df.columns and all(r["_copy"] == r.doc_id for r in mixed.collect())
 
 
 def test_secrets(spark):
@@ -210,3 +246,18 @@ def test_toxicity(spark):
     assert toxicity.without_toxic(docs, train.limit(0)).count() == 900
     clean = {r.doc_id for r in toxicity.without_toxic(docs, train).collect()}
     assert clean >= {i for i in held if i % 4} and not clean & {r.doc_id for r in toxicity.toxic_documents(docs, train).collect()}
+
+
+def test_labels_that_contradict_and_ids_that_repeat(spark):
+    """A label of 1 wins, an id of many rows gives its texts to the sample once, and reruns agree."""
+    rows = [(i, f"vilething w{i} w{i % 7}" if i % 2 else f"fine w{i} w{i % 7}") for i in range(300)] + [(1, "vilething w1 w1")] * 200 + [(2, f"other text {i % 3}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, 1, i % 2) for i in range(300)] + [(i, 1, 0) for i in range(1, 40, 2)] + [(None, 1, 1), (5, None, 0), (6, 1, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    found = toxicity.sampled(docs, labels, toxicity.categories(), 4000, 5).collect()
+    assert len(found) == 300 + 3 and sum(r.toxic for r in found) == 150
+    assert len(toxicity.sampled(docs, labels, toxicity.categories(), 50, 5).collect()) == 50
+    a, b = (toxicity.train(d, x, toxicity.categories()) for d, x in ((docs, labels), (docs.repartition(7), labels.repartition(5))))
+    assert (a.features == b.features).all() and a.thresholds == b.thresholds and np.allclose(a.weights[1], b.weights[1])
+    got = {r.doc_id: r.p_toxic >= a.thresholds[-1] for r in toxicity.scored(docs, a).collect()}
+    assert all(got[i] == bool(i % 2) for i in range(300) if i != 2)
