@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.llm import decontamination, minhash_dedup, mixing, sharding, toxicity
-from seqframe.llm._shared import cut, named, table
+from seqframe.llm._shared import cut, packed, table
 
 ORACLE_SQL = None
 
@@ -33,8 +33,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources reach their token targets."""
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return mixing.mix(docs).withColumn("_copy", copies).select(*named(docs.columns))
+    row = packed(docs, "doc_id", "text", "source")
+    mixed = mixing.mix(row, carry=["_row"])
+    copies = F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")
+    return mixed.select(copies).select("_row.*")
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
