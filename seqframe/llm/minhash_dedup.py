@@ -188,7 +188,8 @@ def near_duplicates(
         fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
         pairs = met.join(left, "a").join(right, "b").filter(fits & (F.size(F.array_intersect("s_a", "s_b")) >= matches)).select("a", "b")
         wanted = scratch.cut(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "mark").distinct(), "wanted")
-        texts = scratch.cut(marked(docs).join(wanted, ["doc_id", "mark"]).select("id", "text"), "texts")
+        # a merge join at every size: the plan does not change where the wanted rows no longer fit a broadcast
+        texts = scratch.cut(marked(docs).join(wanted.hint("merge"), ["doc_id", "mark"]).select("id", "text"), "texts")
         if texts.count() > wanted.count():  # rows equal in id and text
             texts = scratch.cut(texts.dropDuplicates(["id"]), "texts")
         links = scratch.cut(confirm(scratch.cut(pairs, "pairs"), texts, words, percent, scratch).unionByName(same), "links")
