@@ -229,3 +229,21 @@ def numbered(known: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     rows = known.select("doc_id", "set_hash").join(several, "doc_id").filter("set_hash != low").distinct()
     a, b = classes.select("set_hash", F.col("id").alias("a")), classes.select(F.col("set_hash").alias("low"), F.col("id").alias("b"))
     return classes, rows.join(a, "set_hash").join(b, "low").select("a", "b")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n,
+    string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s
+  FROM (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i
+    FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents WHERE text IS NOT NULL))),
+s AS (SELECT DISTINCT doc_id, s FROM w WHERE i + 4 <= n OR (n < 5 AND i = 1)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a AS doc_id, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+g AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN z USING (doc_id) LEFT JOIN g USING (doc_id)
+"""

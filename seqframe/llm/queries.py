@@ -66,4 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op2_suffix_array_dedup": suffix_dedup.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
+    "op8_minhash_near_dedup": minhash_dedup.SQL,
+    "op9_mixing": mixing.SQL,
+}

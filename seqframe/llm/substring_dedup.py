@@ -155,3 +155,19 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 5, batches: in
 
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, i, word, count(*) OVER (PARTITION BY doc_id) AS n,
+    string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win
+  FROM (SELECT doc_id, unnest(x) AS word, generate_subscripts(x, 1) AS i
+    FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS x FROM documents WHERE text IS NOT NULL))),
+h AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS hit FROM w WHERE i + 19 <= n),
+g AS (
+  SELECT doc_id, i, word, coalesce(bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM w LEFT JOIN h USING (doc_id, i)),
+k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+"""

@@ -77,3 +77,22 @@ def digest(result: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+# windows are taken from blocks of 1,600 starts, so that no text is walked once for each of its bytes
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT rid, unnest(range(0, len(h) // 2, 1600)) AS o, h FROM d),
+c AS (SELECT rid, o, least(1600, len(h) // 2 - 399 - o) AS m, substring(h, 2 * o + 1, 3998) AS s FROM b),
+p AS (SELECT rid, o + j AS i, md5(substring(s, 2 * j + 1, 800)) AS m FROM (SELECT rid, o, s, unnest(range(0, m)) AS j FROM c WHERE m > 0)),
+r AS (SELECT m FROM p GROUP BY m HAVING count(*) > 1),
+t AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM p SEMI JOIN r USING (m)),
+s AS (SELECT rid, min(i) AS a, max(i) + 400 AS z FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM t) GROUP BY rid, k),
+x AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS e FROM s),
+k AS (
+  SELECT rid, sum(z - a) AS gone, count(*) AS n, max(z) AS tail, string_agg(substring(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS front
+  FROM x JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(front || substring(h, 2 * tail + 1), h))) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
