@@ -1,8 +1,9 @@
 """Audio columns: lossless 8-bit samples, log-mel features of speech-like segments, time spans.
 
 Method: polyphase resampling, overlapped log-mel filterbanks and hysteresis energy segmentation.
-Segments are cut into windows of `SHAPE` frames x bands that hold every frame of the segment, so that a
-batch of them is an Arrow fixed-shape tensor array (`tensors`).
+Segments are cut into windows of `SHAPE` frames x bands that hold every frame of the segment.  The windows
+of a text, with their time spans, are stored as one Arrow record batch whose ``mel`` column is a fixed-shape
+tensor array (`stored`, `read`); Spark, which has no such type, carries the batch's IPC bytes.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ UNIT = 64
 #: Frames that one step transforms.
 STEP = 8192
 
-SEGMENT = "array<struct<start: double, end: double, segment: int, frames: int, mel: array<float>>>"
-SCHEMA = f"doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, segments {SEGMENT}"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), SHAPE)
+WINDOWS = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("segment", pa.int32()), ("frames", pa.int32()), ("mel", TENSOR)])
+SCHEMA = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, windows binary"
 
 
 def payload_of(raw: bytes) -> bytes:
@@ -137,24 +139,21 @@ def features(payload: bytes, rate: int) -> list[dict]:
     return out
 
 
-def tensors(mel: pa.Array) -> pa.ExtensionArray:
-    """A column of ``mel`` lists as an Arrow fixed-shape tensor array."""
-    size = WINDOW * MELS
-    storage = pa.FixedSizeListArray.from_arrays(mel.flatten().cast(pa.float32()), size)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), SHAPE), storage)
+def stored(found: list[dict]) -> bytes:
+    """The windows as Arrow IPC bytes: time span, number of the segment, frames filled, log-mel tensor."""
+    flat = np.concatenate([w["mel"] for w in found]) if found else np.zeros(0, np.float32)
+    mel = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), WINDOW * MELS))
+    batch = pa.RecordBatch.from_arrays([*[pa.array([w[f.name] for w in found], f.type) for f in list(WINDOWS)[:-1]], mel], schema=WINDOWS)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, WINDOWS) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
-def windows(found: list[list[dict]]) -> pa.ListArray:
-    """The windows of each row.  Tensors are built with their fixed shape; Spark, which has no such type, gets their lists."""
-    flat = [w for row in found for w in row]
-    mel = pa.array(np.concatenate([w["mel"] for w in flat]) if flat else np.zeros(0, np.float32))
-    ends = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
-    lists = pa.ListArray.from_arrays(ends([len(w["mel"]) for w in flat]), mel)
-    shaped = tensors(lists).storage
-    column = pa.ListArray.from_arrays(ends([WINDOW * MELS] * len(flat)), shaped.flatten())
-    kinds = {"start": pa.float64(), "end": pa.float64(), "segment": pa.int32(), "frames": pa.int32()}
-    parts = [pa.array([w[n] for w in flat], t) for n, t in kinds.items()]
-    return pa.ListArray.from_arrays(ends([len(row) for row in found]), pa.StructArray.from_arrays([*parts, column], [*kinds, "mel"]))
+def read(data: bytes) -> pa.RecordBatch:
+    """The windows of one text as `stored` wrote them."""
+    with pa.ipc.open_stream(data) as reader:
+        return reader.read_next_batch()
 
 
 def audio(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
@@ -164,21 +163,20 @@ def audio(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     empty) with zero bytes up to a positive multiple of 64, stored as a mono 8-bit WAV file in
     ``media``.  Returns one row per input row: ``doc_id, n_bytes`` (unpadded), ``media,
     payload_bytes, payload_sha256, tail_crc32`` (last 64 bytes; all of the payload as read back) and
-    ``segments``: windows of the segments as `features` gives them, tensors as lists of `SHAPE` in row order.
+    ``windows``: those of the segments as `features` gives them, to be read by `read`.
 
     Each row depends on its text alone: rows may repeat, ids may be null, and equal texts give equal
     values.  A silent text (all bytes equal) is one segment.  An empty table gives an empty result.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64())
-        names = ["doc_id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "segments"]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+        names = ["doc_id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "windows"]
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
-            *plain, found = zip(*rows)
-            return pa.RecordBatch.from_arrays([*[pa.array(list(c), k) for c, k in zip(plain, kinds)], windows(found)], names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
-        for batch in batches:
+        for batch in tk.small(batches):
             ids = batch.column("doc_id").to_pylist()
             raw, off = tk.utf8(batch.column("text"))
             rows, held = [], 0
@@ -186,8 +184,8 @@ def audio(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
                 text = raw[off[i] : off[i + 1]].tobytes()
                 media = encode_wav(payload_of(text))
                 payload, rate = decode_wav(media)
-                rows.append((doc_id, len(text), media, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), features(payload, rate)))
-                held += len(media)
+                rows.append((doc_id, len(text), media, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), stored(features(payload, rate))))
+                held += len(media) + len(rows[-1][-1])
                 if held >= batch_bytes:
                     yield packed(rows)
                     rows, held = [], 0
@@ -197,16 +195,21 @@ def audio(docs: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
 
 
+def spoken(data: bytes) -> str:
+    """The windows read back, in short: time span and mean log-mel value of the frames filled."""
+    w = read(data)
+    mel = w.column("mel").storage.flatten().to_numpy().reshape(-1, *SHAPE)
+    spans = zip(*(w.column(c).to_pylist() for c in ("start", "end", "frames")))
+    return ";".join(f"{a:.3f}-{b:.3f}:{mel[i, :n].mean(dtype=np.float64):.2f}" for i, (a, b, n) in enumerate(spans))
+
+
 def digest(result: DataFrame) -> DataFrame:
-    mean = lambda m: F.aggregate(m, F.lit(0.0), lambda a, x: a + x) / F.size(m)
-    each = F.transform("segments", lambda s: F.format_string("%.3f-%.3f:%.2f", s["start"], s["end"], mean(F.slice(s["mel"], F.lit(1), s["frames"] * MELS))))
-    return result.select(
-        "doc_id",
-        "n_bytes",
-        "payload_bytes",
-        "payload_sha256",
-        "tail_crc32",
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(";", each).alias("feature"),
-    )
+    slim = result.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "windows")
+    names = slim.columns[:-1]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tk.small(batches):
+            said = pa.array([spoken(x.as_py()) for x in batch.column("windows")], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], said], [*names, "feature"])
+
+    return slim.mapInArrow(describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -216,8 +216,9 @@ def test_segments_and_tensors():
     x = np.r_[np.zeros(8000), rng.normal(0, 40, 8000), np.zeros(8000), rng.normal(0, 40, 4000)]
     found = media.features((x + 128).clip(0, 255).astype(np.uint8).tobytes(), media.STORED_RATE)
     assert [round(s["start"], 1) for s in found] == [0.5, 1.5] and abs(found[0]["end"] - 1.0) < 0.05
-    array = media.tensors(pa.array([s["mel"] for s in found], pa.list_(pa.float32())))
+    array = media.read(media.stored(found)).column("mel")
     assert array.type.shape == list(media.SHAPE) and np.array_equal(array.to_numpy_ndarray()[1].ravel(), found[1]["mel"])
+    assert media.read(media.stored([])).num_rows == 0
 
 
 def test_toxicity(spark):
