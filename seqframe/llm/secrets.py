@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._forest import Forest, fit
+from ._tokens import small
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/.\-]{16,}={0,2}")
 #: Words that make up identifiers and paths.
@@ -47,7 +48,11 @@ TELLING = frozenset("sha sha1 sha256 md5 commit checksum digest hash etag uuid g
 #: An asking word with what may stand between it and its value.
 ASK = re.compile(r"(?i)(?<![A-Za-z])(?:token|key|secret|password|passwd|pwd|apikey|api|auth|bearer|credentials?|access|private)(?![A-Za-z0-9_])[\"'\]]{0,2}(?:\s*[:=]+>?\s*|\s+)")
 _BARE = re.compile(r"[^\s&]+")
-FEATURES = ("length", "digits", "upper", "lower", "marks", "entropy", "switches", "runs", "hex", "covered", "slashes", "dots", "dashes", "extension", "path_before", "asking", "telling", "assigned", "quoted", "prefix", "unusual")
+#: A private key in text form is one candidate, from its first line to its last.
+BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s,:\-\\]*?-----END [A-Z ]{0,40}PRIVATE KEY-----")
+#: Kinds of characters, by whose sequence transitions are counted.
+KINDS = "digit", "upper", "lower", "mark"
+FEATURES = ("length", "digits", "upper", "lower", "marks", "entropy", "switches", "runs", "hex", "covered", "slashes", "dots", "dashes", "extension", "path_before", "asking", "telling", "assigned", "quoted", "prefix", "unusual", "likelihood", "block", *(f"{a}_{b}" for a in KINDS for b in KINDS))
 _PREFIX = re.compile(r"(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|eyJ)")
 _EXTENSION = re.compile(r"\.[a-z]{1,5}$")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -63,6 +68,17 @@ def _pairs() -> frozenset:
     return frozenset(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
 
 
+@cache
+def _transitions() -> dict[str, float]:
+    """Log probability of each letter after another in the dictionary's words, every pair counted once more."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    count = {a: dict.fromkeys(letters, 1) for a in letters}
+    for w in DICTIONARY:
+        for a, b in zip(w, w[1:]):
+            count[a][b] += 1
+    return {a + b: math.log(n / sum(row.values())) for a, row in count.items() for b, n in row.items()}
+
+
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
@@ -76,6 +92,10 @@ def describe(before: str, candidate: str, after: str) -> list[float]:
     near = _WORD.findall(before.lower())[-3:] + _WORD.findall(after.lower())[:2]
     tail = before.rstrip()
     pairs = [x for x in map("".join, zip(candidate.lower(), candidate[1:].lower())) if x.isalpha()]
+    likely = [p for x in pairs if (p := _transitions().get(x)) is not None]
+    steps = [0] * 16
+    for a, b in zip(kinds, kinds[1:]):
+        steps[4 * a + b] += 1
     return [
         n,
         *share,
@@ -95,6 +115,9 @@ def describe(before: str, candidate: str, after: str) -> list[float]:
         before.endswith(('"', "'")),
         bool(_PREFIX.match(candidate)),
         sum(x not in _pairs() for x in pairs) / max(1, len(pairs)),
+        sum(likely) / max(1, len(likely)),
+        candidate.startswith("-----BEGIN "),
+        *[k / max(1, n - 1) for k in steps],
     ]
 
 
@@ -119,13 +142,17 @@ def candidates(text: str, window: int = 40) -> Iterator[tuple[int, int, str, str
     """Start, end, text before, candidate, text after, in order.
 
     A candidate is what follows an asking word, of any length and characters, or anywhere 16 or more
-    characters of tokens with a digit and a letter.  One may lie within another.
+    characters of tokens with a digit and a letter, or a private key's block of lines.  One may lie within
+    another, but none within a block.
     """
+    blocks = [m.span() for m in BLOCK.finditer(text)] if "PRIVATE KEY-----" in text else []
     found = set(_values(text))
     for m in CANDIDATE.finditer(text):
         x = m.group().rstrip(".-")
         if len(x) >= 16 and any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
             found.add((m.start(), m.start() + len(x)))
+    if blocks:
+        found = {(s, e) for s, e in found if not any(s < y and x < e for x, y in blocks)} | set(blocks)
     for s, e in sorted(found):
         yield s, e, text[max(0, s - window) : s], text[s:e], text[e : e + window]
 
@@ -160,6 +187,17 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
         lambda: word() + rng.choice((",", "-", "_", "/", "'s ", ".")) + word(),
         lambda: str(rng.randint(0, 9999)),
     )
+    wrapped = lambda x: "\n".join(x[i : i + 64] for i in range(0, len(x), 64))
+
+    def block() -> str:
+        kind = rng.choice(("", "RSA ", "EC ", "OPENSSH "))
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{wrapped(base64.b64encode(rng.randbytes(rng.randint(60, 300))).decode())}\n-----END {kind}PRIVATE KEY-----"
+
+    def sample() -> str:
+        """What stands between such lines in instructions."""
+        kind = rng.choice(("", "RSA ", "EC "))
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{rng.choice((prose(4), '', 'your key here', 'MII', word() * 3))}\n-----END {kind}PRIVATE KEY-----"
+
     uuid = lambda: "-".join(hexa(k) for k in (8, 4, 4, 4, 12))
     bad = (
         lambda: (rng.choice(("commit ", "revision ", "sha1: ", "commit: ")), hexa(40)),
@@ -176,7 +214,9 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple[str, str, str
     )
     out = []
     for i in range(n):
-        if i % 8 == 3:
+        if i % 16 in (1, 2):
+            out.append((f"{prose(3)}\n", block() if i % 16 == 1 else sample(), "\n" + prose(3), i % 16 % 2))
+        elif i % 8 == 3:
             ask = rng.choice(asks) + rng.choice((" = \"", "=", ": ", " = '", ": \"", "=\""))
             out.append((f"{prose(3)} {ask}", rng.choice(chosen)(), rng.choice(("\" ", "' ", " ", "\n")) + prose(3), 1))
         elif i % 8 == 4:
@@ -212,7 +252,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5)
     model = forest or train(labelled_findings())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows, x = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 value = text.as_py()
