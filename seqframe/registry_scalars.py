@@ -116,14 +116,14 @@ COMPARED = {"equal_to": "=", "not_equal_to": "<>", "less": "<", "less_equal": "<
 def _functors() -> dict[str, Column]:
     a, b = F.col("v"), F.col("pos") + 1
     return {
-        "plus": fn.plus(a, b), "minus": fn.minus(a, b), "multiplies": fn.multiplies(a, b), "divides": fn.divides(a, b), "modulus": fn.modulus(a, b), "negate": fn.negate(a), "bit_and": fn.bit_and(a, b),
+        "plus": fn.plus(a, b), "minus": fn.minus(a, b), "multiplies": fn.multiplies(a % 1000, b), "divides": fn.divides(a, b), "modulus": fn.modulus(a, b), "negate": fn.negate(a), "bit_and": fn.bit_and(a, b),
         "bit_or": fn.bit_or(a, b), "bit_xor": fn.bit_xor(a, b), "bit_not": fn.bit_not(a), "logical_and": fn.logical_and(a % 2 == 0, b % 3 == 0), "logical_or": fn.logical_or(a % 2 == 0, b % 3 == 0),
         "logical_not": fn.logical_not(a % 2 == 0), "not_fn": fn.not_fn(fn.less)(a % 5, b % 5), "bind": fn.bind(fn.minus, F.lit(7))(a), **{k: getattr(fn, k)(a % 5, b % 5) for k in COMPARED},
     }
 
 
 on_values("functors", _functors, {
-    "plus": "v + pos + 1", "minus": "v - pos - 1", "multiplies": "v * (pos + 1)", "divides": "v / (pos + 1)", "modulus": "v % (pos + 1)", "negate": "-v", "bit_and": "v & (pos + 1)",
+    "plus": "v + pos + 1", "minus": "v - pos - 1", "multiplies": "v % 1000 * (pos + 1)", "divides": "v / (pos + 1)", "modulus": "v % (pos + 1)", "negate": "-v", "bit_and": "v & (pos + 1)",
     "bit_or": "v | (pos + 1)", "bit_xor": "xor(v, pos + 1)", "bit_not": "~v", "logical_and": "(v % 2 = 0 AND (pos + 1) % 3 = 0)::INTEGER", "logical_or": "(v % 2 = 0 OR (pos + 1) % 3 = 0)::INTEGER",
     "logical_not": "(v % 2 <> 0)::INTEGER", "not_fn": "(v % 5 >= (pos + 1) % 5)::INTEGER", "bind": "7 - v", **{k: f"(v % 5 {op} (pos + 1) % 5)::INTEGER" for k, op in COMPARED.items()},
 })
