@@ -129,8 +129,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     kept = F.struct(*[F.col("_row")[c].alias(c) for c in names]) if names else F.struct(F.lit(None).alias("none"))
     bare = held.select(kept.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
     # classes of 1/16 of a doubling, each in cells of doc_id: bounded in number, cells of a hot class are many
-    level = F.when(F.col("size") > 0, F.floor(F.log2("size") * 16) + 1).otherwise(0).cast("int")
-    cell = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(64)).cast("int")
+    # never null: otherwise the join tests both first, and counts the words anew for that
+    level = F.coalesce(F.when(F.col("size") > 0, F.floor(F.log2("size") * 16) + 1).otherwise(0).cast("int"), F.lit(0))
+    cell = F.coalesce(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(64)).cast("int"), F.lit(0))
     if set(names) <= {"doc_id", "source"}:  # narrow rows are stored, so that texts are read once
         bare = cut(bare, "sizes")
     sized = bare.withColumns({"class": level, "cell": cell})
