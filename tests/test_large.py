@@ -5,6 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from seqframe.operators import aggregate as ag
+from seqframe.plans import ranking
 
 
 def test_inner_product_beyond_64_bits(spark):
@@ -15,3 +16,10 @@ def test_inner_product_beyond_64_bits(spark):
     fits = ag.inner_product(s.withColumn("v", F.col("pos")), twice, 5)
     assert fits.dtypes == [("result", "bigint")] and fits.head()[0] == 5 + 32 * sum(range(64))
     assert ag.inner_product(s.filter("false"), twice, 7).head()[0] == 7
+
+
+def test_ranks_of_bounds_beyond_32_bits(spark):
+    """Buckets times sampled keys pass 2^31."""
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_009).alias("x"))
+    dealt, total = ranking.leveled(df, "level", ["x"], rows=2)
+    assert total == 40_000 and dealt.groupBy("level").count().agg(F.max("count")).head()[0] <= 4
