@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import ranges
 from .registry import EARLY, FIRST, ISLANDS, KEEP, LAGGED, LATE, NEXT, P, SCAN, UNIQUE, O, add, events, on_lines, on_orders, on_prices, on_quantities, orders, parts
+from .sources.sequences import mapped
 
 fifth = lambda v: v % 5
 
@@ -60,7 +61,7 @@ on_lines("ranges_stable_sort", lambda s: ranges.stable_sort(s, proj=lambda v: -v
 
 def _merged(s, d: str) -> DataFrame:
     """Part keys of both halves, the second half negated and projected back."""
-    return ranges.merge(parts(s, d, EARLY), parts(s, d, LATE).withColumn("v", -F.col("v")), proj=lambda v: v, proj_b=lambda v: -v)
+    return ranges.merge(parts(s, d, EARLY), mapped(parts(s, d, LATE), lambda v: -v), proj=lambda v: v, proj_b=lambda v: -v)
 
 
 add("ranges_merge", _merged, f"WITH {P} SELECT row_number() OVER (ORDER BY abs(v), v < 0) - 1 AS pos, v FROM (SELECT v FROM a UNION ALL SELECT -v FROM b)")
