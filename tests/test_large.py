@@ -51,6 +51,19 @@ def test_long_sequences_are_sorted_by_their_keys(spark, monkeypatch):
         assert plan.count("Exchange hashpartitioning") == 1, name
 
 
+def moves(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_long_sequences_are_moved_once(spark, monkeypatch):
+    """Positions that nothing reads are not made: a merge, a selection or a set operation moves each row once."""
+    monkeypatch.setattr(ranking, "LATE", 1000)
+    d = "/root/testdata/sf0.1"
+    for name in ("merge", "merge_descending", "nth_element_rearranged", "set_union_by"):
+        plan = registry.QUERIES[name](spark, d)
+        assert moves(plan) == (3 if name == "set_union_by" else 1), name
+
+
 @pytest.mark.parametrize("kinds", ["long, long, timestamp", "double, long, date", "string, double, long"])
 def test_mixed_directions_choose_buckets(spark, kinds):
     """Keys of both directions, nulls and NaN: every order of directions gives the order of Spark, in even buckets."""
