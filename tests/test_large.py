@@ -77,3 +77,11 @@ def test_mixed_directions_choose_buckets(spark, kinds):
     if kinds[0] == "long":
         dealt, _ = ranking.leveled(df, "level", names, ["a"], "id", 40)
         assert dealt.groupBy("level").count().agg(F.max("count")).head()[0] <= 80
+
+
+def test_a_list_is_searched_in_one_scan(spark, monkeypatch):
+    """The length is known from the making of the sequence, which is not read again to count it."""
+    for late in (1000, ranking.LATE):
+        monkeypatch.setattr(ranking, "LATE", late)
+        plan = registry.QUERIES["ranges_search"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
