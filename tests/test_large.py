@@ -7,6 +7,7 @@ from conftest import same_rows
 from pyspark.sql import functions as F
 
 from seqframe import registry
+from seqframe.functions import random as rnd
 from seqframe.operators import aggregate as ag
 from seqframe.plans import dense_pos, ranking
 
@@ -85,3 +86,13 @@ def test_a_list_is_searched_in_one_scan(spark, monkeypatch):
         monkeypatch.setattr(ranking, "LATE", late)
         plan = registry.QUERIES["ranges_search"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("engine", [rnd.philox4x32, rnd.philox4x64, rnd.ranlux24])
+def test_vectors_are_drawn_in_one_pass(spark, engine):
+    got = rnd.vectors(spark, 50, engine(), 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") + plan.count("MapInArrow") == 1
+    flat = [r.v for r in rnd.numbers(spark, 200, engine()).orderBy("pos").collect()]
+    assert [(r.pos, r.v) for r in got.orderBy("pos").collect()] == [(i, flat[4 * i : 4 * i + 4]) for i in range(50)]
+    assert rnd.vectors(spark, 0, engine(), 4).count() == 0
