@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqframe import registry
 from seqframe.functions import random as rnd
 from seqframe.operators import aggregate as ag
+from seqframe.operators import sorting
 from seqframe.plans import dense_pos, ranking
 
 
@@ -52,6 +53,13 @@ def test_long_sequences_are_sorted_by_their_keys(spark, monkeypatch):
         assert plan.count("Exchange hashpartitioning") == 1, name
 
 
+def test_more_classes_than_are_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr(ranking, "LATE", 0)
+    monkeypatch.setattr(sorting, "MOST", 0)
+    for name in ("set_union_by", "set_symmetric_difference_by"):
+        same_rows(spark, sf, registry.QUERIES[name], registry.ORACLE[name])
+
+
 def moves(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
